@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .decontaminate import op2_decontaminate
 from .simhash import op1_simhash
 
 
 def queries():
     return {
         "op1_simhash": op1_simhash,
+        "op2_decontaminate": op2_decontaminate,
     }
 
 
