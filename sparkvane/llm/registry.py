@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
+from .packing import op5_packing
 from .simhash import op1_simhash
 
 
@@ -10,6 +11,7 @@ def queries():
     return {
         "op1_simhash": op1_simhash,
         "op2_decontaminate": op2_decontaminate,
+        "op5_packing": op5_packing,
     }
 
 
