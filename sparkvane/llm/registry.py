@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
 from .packing import op5_packing
+from .pii import op3_pii
 from .simhash import op1_simhash
 
 
@@ -11,6 +12,7 @@ def queries():
     return {
         "op1_simhash": op1_simhash,
         "op2_decontaminate": op2_decontaminate,
+        "op3_pii": op3_pii,
         "op5_packing": op5_packing,
     }
 
