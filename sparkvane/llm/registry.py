@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op2_decontaminate
 from .packing import op5_packing
 from .pii import op3_pii
+from .sharding import op8_sharding
 from .simhash import op1_simhash
 
 
@@ -14,6 +15,7 @@ def queries():
         "op2_decontaminate": op2_decontaminate,
         "op3_pii": op3_pii,
         "op5_packing": op5_packing,
+        "op8_sharding": op8_sharding,
     }
 
 
