@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
+from .langid import op9_language_id
 from .packing import op5_packing
 from .pii import op3_pii
+from .secrets import op10_secrets
 from .sharding import op8_sharding
 from .simhash import op1_simhash
 
@@ -16,6 +18,8 @@ def queries():
         "op3_pii": op3_pii,
         "op5_packing": op5_packing,
         "op8_sharding": op8_sharding,
+        "op9_language_id": op9_language_id,
+        "op10_secrets": op10_secrets,
     }
 
 
