@@ -9,6 +9,7 @@ from .pii import op3_pii
 from .secrets import op10_secrets
 from .sharding import op8_sharding
 from .simhash import op1_simhash
+from .warc import OP4_SQL, op4_warc_revisits
 
 
 def queries():
@@ -16,6 +17,7 @@ def queries():
         "op1_simhash": op1_simhash,
         "op2_decontaminate": op2_decontaminate,
         "op3_pii": op3_pii,
+        "op4_warc_revisits": op4_warc_revisits,
         "op5_packing": op5_packing,
         "op8_sharding": op8_sharding,
         "op9_language_id": op9_language_id,
@@ -24,4 +26,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op4_warc_revisits": OP4_SQL}
