@@ -183,6 +183,21 @@ def predict(docs: DataFrame, model: BitSlicedFilter, id_col="doc_id", text_col="
     return d.mapInArrow(_predict(bc), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: BitSlicedFilter, text_col: str = "text") -> DataFrame:
+    """`docs` without the rows predicted `und`; all columns and other rows stay as they are."""
+    bc = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for b in slices(batch, 4 << 20, text_col):
+                lang, _ = bc.value.classify(Grams(b.column(b.schema.get_field_index(text_col)).to_pylist()))
+                yield b.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def trained_filter(docs: DataFrame, id_col="doc_id") -> BitSlicedFilter:
     return BitSlicedFilter(*train(docs.where(~is_fold(id_col, 3))))
 

@@ -330,5 +330,10 @@ def score_documents(docs: DataFrame, held_out, id_col="doc_id", text_col="text",
     )
 
 
+def buckets_for(spark) -> int:
+    """Twice the shuffle partitions, as these are set to the data, at least BUCKETS; a power of two."""
+    return max(BUCKETS, 1 << (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return score_documents(read(spark, sf_dir, "documents"), is_fold("doc_id", 5))
+    return score_documents(read(spark, sf_dir, "documents"), is_fold("doc_id", 5), buckets=buckets_for(spark))

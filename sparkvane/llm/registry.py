@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op2_decontaminate
 from .langid import op9_language_id
 from .lm import op6_lm_scoring
+from .media import op7_media
 from .packing import op5_packing
 from .pii import op3_pii
 from .secrets import op10_secrets
@@ -21,6 +22,7 @@ def queries():
         "op4_warc_revisits": op4_warc_revisits,
         "op5_packing": op5_packing,
         "op6_lm_scoring": op6_lm_scoring,
+        "op7_media": op7_media,
         "op8_sharding": op8_sharding,
         "op9_language_id": op9_language_id,
         "op10_secrets": op10_secrets,
