@@ -65,3 +65,18 @@ def slices(batch, max_bytes: int = 8 << 20, col: str = "text"):
         j = min(n, max(j, i + 1))
         yield batch.slice(i, j - i)
         i = j
+    _trim()
+
+
+def _trim() -> None:
+    """Give freed pages back: a worker serves many tasks, and what one stage's arrays
+    took would otherwise stay resident through the next ones."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass

@@ -1,7 +1,7 @@
 """Benchmark decontamination with an FM-index per training shard.
 
 The benchmark is the stated query set: its windows, in blocks of bounded size,
-are broadcast. Every shard of whole documents (about 8 MB) becomes an
+are broadcast. Every shard of whole documents (SHARD_BYTES) becomes an
 FM-index over the words of the block's vocabulary; a run of fewer such words
 than the shortest window cannot hold one and is left out, which loses nothing.
 All windows are searched backwards at once, located by sampled suffix
@@ -24,6 +24,7 @@ from .common import fold, read, slices
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # of texts as they are
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _STATE = [StructField("__n_words", LongType()), StructField("__starts", ArrayType(LongType())), StructField("__ends", ArrayType(LongType())), StructField("__items", ArrayType(StringType()))]
@@ -128,7 +129,7 @@ def _search(bc, last: str):
 
         q = bc.value
         for batch in batches:
-            for b in slices(batch, col="__text"):
+            for b in slices(batch, SHARD_BYTES, "__text"):
                 texts = b.column("__text").to_pylist()
                 found = search_shard(texts, q) if q else [(len(words_of(t)), [], set()) for t in texts]
                 old = zip(*(b.column(c).to_pylist() for c in ("__starts", "__ends", "__items"))) if "__starts" in b.schema.names else repeat(([], [], []))

@@ -79,7 +79,7 @@ def _count_grams(batches):
     import pyarrow as pa
 
     for batch in batches:
-        for b in slices(batch, 4 << 20):
+        for b in slices(batch, 1 << 20):
             langs = b.column("lang").to_pylist()
             g = Grams(b.column("text").to_pylist())
             names = sorted(set(langs))
@@ -167,7 +167,7 @@ def _predict(bc):
         import pyarrow as pa
 
         for batch in batches:
-            for b in slices(batch, 4 << 20):
+            for b in slices(batch, 1 << 20):
                 lang, score = bc.value.classify(Grams(b.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([*(c for n, c in zip(b.schema.names, b.columns) if n != "text"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*(n for n in b.schema.names if n != "text"), "lang_pred", "score"])
 
@@ -191,7 +191,7 @@ def keep_known(docs: DataFrame, model: BitSlicedFilter, text_col: str = "text")
         import pyarrow as pa
 
         for batch in batches:
-            for b in slices(batch, 4 << 20, text_col):
+            for b in slices(batch, 1 << 20, text_col):
                 lang, _ = bc.value.classify(Grams(b.column(b.schema.get_field_index(text_col)).to_pylist()))
                 yield b.filter(pa.array([x != "und" for x in lang], pa.bool_()))
 

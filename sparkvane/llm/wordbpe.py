@@ -13,7 +13,7 @@ import json
 import numpy as np
 
 _FAR = np.int64(1 << 40)
-CACHE = 300_000
+CACHE = 200_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MAX_WORD = 24
 
