@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "event_rows"
+from . import q_basic, q_series  # noqa: F401
+from .registry import QUERIES, SQL
+
+FLAGSHIP = "category_drift_findings"
 
 
 def queries():
-    return {"event_rows": lambda spark, d: spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").count()}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {"event_rows": "select event_type, count(*) as count from events group by 1"}
+    return dict(SQL)
