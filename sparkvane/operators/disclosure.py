@@ -175,7 +175,7 @@ def guard_columns(df: DataFrame, blind: set[str]) -> DataFrame:
 
     text = df._jdf.queryExecution().analyzed().toString() if hasattr(df, "_jdf") else ""
     for c in blind:
-        if c in df.columns or re.search(rf"\b{re.escape(c)}#", re.sub(r"(?m)^.*Relation \[.*$", "", text)):
+        if c in df.columns or re.search(rf"\b{re.escape(c)}#", re.sub(r"(?m)^.*(?:Relation|LogicalRDD|LocalRelation).*$", "", text)):
             raise PermissionError(f"column {c} is blind")
     return df
 

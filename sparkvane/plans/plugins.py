@@ -86,7 +86,7 @@ def run_sketch(df: DataFrame, c: str, s: Sketch, by: list[str] = ()) -> DataFram
         for pdf in frames:
             groups = pdf.groupby(keys, dropna=False) if keys else [((), pdf)]
             for k, g in groups:
-                acc[k] = s.merge(acc.get(k, s.identity()), s.of(g[c].dropna().tolist()))
+                acc[k] = s.merge(acc.get(k, s.identity()), s.of(g[c].tolist()))
         yield pd.DataFrame([[*k, s.encode(v)] for k, v in acc.items()], columns=[*keys, "state"])
 
     def final(pdf):
@@ -97,7 +97,7 @@ def run_sketch(df: DataFrame, c: str, s: Sketch, by: list[str] = ()) -> DataFram
             st = s.merge(st, s.decode(bytes(b)))
         return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), s.encode(st)]], columns=[*keys, "state"])
 
-    parts = df.select(*keys, c).mapInPandas(partial, schema)
+    parts = df.where(F.col(c).isNotNull()).select(*keys, c).mapInPandas(partial, schema)  # nulls are no items
     return parts.groupBy(*(keys or [F.lit(0).alias("__all")])).applyInPandas(final, schema)
 
 
