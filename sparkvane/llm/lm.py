@@ -27,7 +27,7 @@ BASE = 1.5
 HASHES = 4
 BITS_PER_ENTRY = 8
 MAX_BYTES = 128 << 20
-BUCKETS = 256
+BUCKETS = 32
 HEAD = 1 << 20
 MU = 20.0
 FLUSH = 4_000_000
@@ -331,8 +331,8 @@ def score_documents(docs: DataFrame, held_out, id_col="doc_id", text_col="text",
 
 
 def buckets_for(spark) -> int:
-    """Twice the shuffle partitions, as these are set to the data, at least BUCKETS; a power of two."""
-    return max(BUCKETS, 1 << (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    """Four times the shuffle partitions, as these are set to the data, at least BUCKETS; a power of two."""
+    return max(BUCKETS, 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
