@@ -29,7 +29,7 @@ BITS_PER_ENTRY = 8
 MAX_BYTES = 128 << 20
 BUCKETS = 32
 HEAD = 1 << 20
-MU = 20.0
+MU = 100.0
 FLUSH = 4_000_000
 _PACKED = "order int, bucket int, keys binary, counts binary"
 
