@@ -260,3 +260,10 @@ def keyed_hash(c, key: bytes) -> Column:
     ipad, opad = bytes(b ^ 0x36 for b in k).hex(), bytes(b ^ 0x5C for b in k).hex()
     inner = F.sha2(F.unhex(F.concat(F.lit(ipad), F.hex(_c(c).cast("string").cast("binary")))), 256)
     return F.concat(F.lit("h_"), F.substring(F.sha2(F.unhex(F.concat(F.lit(opad), inner)), 256), 1, 32))
+
+
+def register_sql(spark) -> None:
+    """The Python-backed functions under SQL names."""
+    spark.udf.register("blake2_128", blake2_128)
+    spark.udf.register("canonical_name_exact", canonical_name_exact)
+    spark.udf.register("feature_hash", feature_hash)

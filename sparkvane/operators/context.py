@@ -105,6 +105,51 @@ def business_calendar(spark: SparkSession, start: str, end: str, holiday_days: D
     return d.withColumns({"month_end": F.coalesce(last, F.lit(False)), "quarter_end": F.coalesce(last & (F.month("day") % 3 == 0), F.lit(False)), "fiscal_end": F.coalesce(last & (F.month("day") % 12 == (fiscal_start_month - 1) % 12), F.lit(False))})
 
 
+# -- event sources: event_id, kind, source, starts, ends ------------------------------------------
+
+EVENT = ["event_id", "kind", "source", "starts", "ends"]
+
+
+def static_events(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Rows of (event_id, kind, source or None, starts, ends), dates as ISO text."""
+    d = spark.createDataFrame(rows, "event_id string, kind string, source string, starts string, ends string")
+    return d.withColumns({"starts": F.to_date("starts"), "ends": F.to_date("ends")})
+
+
+def imported_events(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with the event columns; rows of unknown kind or without a start are left out."""
+    d = spark.read.schema("event_id string, kind string, source string, starts date, ends date").csv(path, header=True)
+    return d.where(F.col("kind").isin(*REACH) & F.col("starts").isNotNull()).withColumn("ends", F.coalesce("ends", "starts"))
+
+
+def webhook_events(payloads: DataFrame, body: str) -> DataFrame:
+    """JSON bodies of {id, kind, source, start, end}."""
+    j = payloads.select(F.from_json(body, "id string, kind string, source string, start date, end date").alias("j"))
+    return j.select(F.col("j.id").alias("event_id"), F.col("j.kind").alias("kind"), F.col("j.source").alias("source"), F.col("j.start").alias("starts"), F.coalesce("j.end", "j.start").alias("ends")).where("event_id is not null and starts is not null")
+
+
+def holiday_events(holiday_table: DataFrame) -> DataFrame:
+    return holiday_table.select(F.concat_ws(":", "code", "name", F.col("day").cast("string")).alias("event_id"), F.lit("HOLIDAY").alias("kind"), F.lit(None).cast("string").alias("source"), F.col("observed").alias("starts"), F.col("observed").alias("ends"))
+
+
+def business_events(calendar: DataFrame) -> DataFrame:
+    """Month, quarter and fiscal ends of a business calendar."""
+    kinds = F.explode(F.array_compact(F.array(*(F.when(F.col(c), F.lit(c)) for c in ("month_end", "quarter_end", "fiscal_end"))))).alias("k")
+    return calendar.select("day", kinds).select(F.concat_ws(":", "k", F.col("day").cast("string")).alias("event_id"), F.lit("BUSINESS").alias("kind"), F.lit(None).cast("string").alias("source"), F.col("day").alias("starts"), F.col("day").alias("ends"))
+
+
+def data_quality_events(candidates: DataFrame) -> DataFrame:
+    """Data-quality findings (candidate_id, source, lo, hi) as events of their own."""
+    return candidates.select(F.concat(F.lit("dq:"), F.col("candidate_id").cast("string")).alias("event_id"), F.lit("DATA_QUALITY").alias("kind"), "source", F.col("lo").alias("starts"), F.col("hi").alias("ends"))
+
+
+def all_events(*sources: DataFrame) -> DataFrame:
+    out = sources[0].select(*EVENT)
+    for s in sources[1:]:
+        out = out.unionByName(s.select(*EVENT))
+    return out.dropDuplicates(["event_id"])
+
+
 # -- matching -------------------------------------------------------------------------------------
 
 

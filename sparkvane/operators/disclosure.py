@@ -169,6 +169,21 @@ def backstop(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select("*", F.explode(F.array_compact(F.array(*hit))).alias("h")).select(*df.columns, "h.column", "h.format")
 
 
+def governed_view(df: DataFrame, modes: dict[str, str], key: bytes) -> DataFrame:
+    """OPEN columns as they are, OPAQUE ones as <name>__opaque keyed hashes, BLIND ones gone.
+    Expressions on top of it are pushed through, so a pruned column is never hashed."""
+    out = []
+    for c in df.columns:
+        mode = modes.get(c, "OPEN")
+        if mode == "OPEN":
+            out.append(F.col(c))
+        elif mode == "OPAQUE":
+            out.append(X.keyed_hash(c, key).alias(f"{c}__opaque"))
+        elif mode != "BLIND":
+            raise ValueError(mode)
+    return df.select(*out)
+
+
 def guard_columns(df: DataFrame, blind: set[str]) -> DataFrame:
     """Refuses a plan that mentions a blind column anywhere, and a result that has one."""
     import re

@@ -95,3 +95,25 @@ def feature_aggregate(fn: str, *cols: str) -> Column:
     if fn not in _AGGREGATES or not cols:
         raise ValueError(f"{fn} is no feature aggregate")
     return getattr(F, fn)(*cols)
+
+
+def with_label_delay(df: DataFrame, event_time: str, delay: Column | str, name: str = "label_time") -> DataFrame:
+    """Label time from the event time and a declared delay (an interval column or its text)."""
+    d = F.expr(f"interval {delay}") if isinstance(delay, str) else delay
+    return df.withColumn(name, F.col(event_time) + d)
+
+
+def design_matrix(df: DataFrame, ident: str, numeric: list[str], categorical: list[str], limit: int = 512) -> DataFrame:
+    """Doubles for numbers, category shares for categories of at most `limit` values."""
+    from .aggregates import frequency_encoding
+
+    for c in categorical:
+        df = frequency_encoding(df, c, limit)
+    return df.select(ident, *(F.col(c).cast("double").alias(c) for c in numeric), *(F.col(f"{c}_share") for c in categorical))
+
+
+def graph_feature(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """Out-degree and in-degree of every entity of a graph."""
+    out = edges.groupBy(F.col(source).alias("entity")).agg(F.count(F.lit(1)).alias("out_degree"))
+    into = edges.groupBy(F.col(target).alias("entity")).agg(F.count(F.lit(1)).alias("in_degree"))
+    return out.join(into, "entity", "full").na.fill(0, ["out_degree", "in_degree"])

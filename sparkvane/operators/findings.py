@@ -119,3 +119,31 @@ def hash_chain_breaks(ledger: DataFrame, seq: str, prev: str, own: str, payload:
     d = ledger.withColumn("__before", F.coalesce(before, F.lit("")))
     good = (F.coalesce(prev, F.lit("")) == F.col("__before")) & (F.col(own) == F.sha2(F.concat_ws("|", F.coalesce(prev, F.lit("")), F.col(payload)), 256))
     return d.where(~good).drop("__before")
+
+
+def structure_stats(feedback: DataFrame, structure: str, confirmed: str, rejected: str) -> DataFrame:
+    """Confirmations, rejections and size of each structure group."""
+    return feedback.groupBy(structure).agg(F.sum(confirmed).alias("confirmed"), F.sum(rejected).alias("rejected"), F.count(F.lit(1)).alias("group_size"))
+
+
+def ledger_entries(ledger: DataFrame, actor=None, subject=None, since=None, until=None, limit: int = 100) -> DataFrame:
+    """Ledger rows by actor, subject and time, newest first."""
+    d = ledger
+    for c, v in (("actor", actor), ("subject", subject)):
+        d = d.where(F.col(c) == v) if v is not None else d
+    d = d.where(F.col("at") >= since) if since is not None else d
+    d = d.where(F.col("at") < until) if until is not None else d
+    return d.orderBy(F.desc("at"), F.desc("seq")).limit(limit)
+
+
+def promotions(registry: DataFrame, model: str) -> DataFrame:
+    """Promotion history of a model with the stage before each step."""
+    w = Window.partitionBy("model").orderBy("at", "seq")
+    return registry.where(F.col("model") == model).withColumn("from_stage", F.lag("stage").over(w))
+
+
+def compare_bundles(now: DataFrame, then: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Current against baseline states of the same probes, with the log ratio."""
+    a, b = now.select(*keys, F.col(value).alias("current")), then.select(*keys, F.col(value).alias("baseline"))
+    j = a.join(b, keys, "full")
+    return j.withColumn("log_ratio", F.when((F.col("current") > 0) & (F.col("baseline") > 0), F.ln(F.col("current") / F.col("baseline"))))

@@ -601,3 +601,106 @@ def late_data_update(spark, d):
     win = lambda x: x.groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     on_time, late = e.where("event_id % 10 <> 0"), e.where("event_id % 10 = 0")
     return win(on_time).unionByName(win(late)).groupBy("hour").agg(F.sum("n").alias("n"))
+
+
+# -- the rest of the inventory ----------------------------------------------------------------------------------------
+
+
+@query("select c_custkey, c_mktsegment, length(sha256(c_name)) = 64 as hashed from customer")
+def governed_view(spark, d):
+    """OPEN, OPAQUE and BLIND columns; the hash itself is held by `keyed_hash`."""
+    v = DC.governed_view(T(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_name", "c_acctbal"), {"c_name": "OPAQUE", "c_acctbal": "BLIND"}, b"key")
+    return v.select("c_custkey", "c_mktsegment", F.col("c_name__opaque").rlike("^h_[0-9a-f]{32}$").alias("hashed"))
+
+
+@query("select c_custkey, c_acctbal, round(count(*) over (partition by c_mktsegment) / count(*) over (), 6) as c_mktsegment_share, round(count(*) over (partition by c_nationkey) / count(*) over (), 6) as c_nationkey_share from customer")
+def design_matrix(spark, d):
+    m = FE.design_matrix(T(spark, d, "customer"), "c_custkey", ["c_acctbal"], ["c_mktsegment", "c_nationkey"])
+    return m.withColumns({c: F.round(c, 6) for c in ("c_mktsegment_share", "c_nationkey_share")})
+
+
+@query("select o_custkey as entity, count(*)::bigint as out_degree, 0::bigint as in_degree from orders join lineitem on o_orderkey = l_orderkey group by 1 union all select l_suppkey + 100000000, 0, count(*) from lineitem join orders on o_orderkey = l_orderkey group by 1")
+def graph_feature(spark, d):
+    from .q_basic import edges
+
+    e = edges(spark, d).withColumn("t", F.col("t") + 100_000_000)
+    return FE.graph_feature(e, "s", "t")
+
+
+@query("select event_type, (sum(quality))::bigint as confirmed, count(*) - sum(quality)::bigint as rejected, count(*) as group_size from (select lang event_type, quality from labels join documents using (doc_id)) group by 1")
+def structure_stats(spark, d):
+    l = T(spark, d, "labels").join(T(spark, d, "documents").select("doc_id", "lang"), "doc_id").withColumn("no", 1 - F.col("quality"))
+    return FS.structure_stats(l.withColumnRenamed("lang", "event_type"), "event_type", "quality", "no")
+
+
+@query("with a as (select event_type, count(*) n from events where ts >= timestamp '2024-01-16' group by 1), b as (select event_type, count(*) n from events where ts < timestamp '2024-01-16' group by 1) select event_type, a.n as current, b.n as baseline, round(ln(a.n / b.n), 6) as log_ratio from a full join b using (event_type)")
+def bundle_comparison(spark, d):
+    e = T(spark, d, "events")
+    h = lambda x: x.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    c = FS.compare_bundles(h(e.where("ts >= timestamp_ntz'2024-01-16'")), h(e.where("ts < timestamp_ntz'2024-01-16'")), ["event_type"], "n")
+    return c.withColumn("log_ratio", F.round("log_ratio", 6))
+
+
+@query("select * from (values ('a','HOLIDAY'),('b','DEPLOY'),('dq:7','DATA_QUALITY')) t(event_id, kind)")
+def context_sources(spark, d):
+    s = CX.static_events(spark, [("a", "HOLIDAY", None, "2024-01-01", "2024-01-01")])
+    w = CX.webhook_events(spark.createDataFrame([('{"id":"b","kind":"DEPLOY","start":"2024-01-02"}',), ("{}",)], "body string"), "body")
+    q = CX.data_quality_events(spark.createDataFrame([(7, "x", "2024-01-03")], "candidate_id int, source string, lo string").withColumns({"lo": F.to_date("lo"), "hi": F.to_date("lo")}))
+    return CX.all_events(s, w, q, s).select("event_id", "kind")
+
+
+@query("select event_id, kind from (values (1,'DEPLOY'),(2,'CAMPAIGN')) t(event_id, kind)")
+def context_overlap(spark, d):
+    e = _context_events(spark)
+    return CX.overlapping(e.unionAll(e), F.lit("2024-01-05").cast("date"), F.lit("2024-01-11").cast("date")).select("event_id", "kind")
+
+
+@query("select c_custkey, upper(left(c_name, 2)) as c from customer where regexp_full_match(c_mktsegment, '[A-Za-z_][A-Za-z0-9_]{0,127}')")
+def safe_identifiers(spark, d):
+    return T(spark, d, "customer").where(X.safe_identifier("c_mktsegment")).select("c_custkey", F.upper(F.left("c_name", F.lit(2))).alias("c"))
+
+
+@query("select * from (values ('a%40b', 'a@b'),('YWJj', 'abc'),('616263', 'abc')) t(v, hidden)")
+def decoded_views(spark, d):
+    v = spark.createDataFrame([("a%40b",), ("YWJj",), ("616263",)], "v string")
+    return v.select("v", F.explode(F.array_except(X.decoded_views("v"), F.array("v"))).alias("hidden")).where("hidden in ('a@b', 'abc')")
+
+
+@query("select * from (values ('a,b', 'a\\,b'),('[x]', '\\[x\\]')) t(v, e)")
+def escape_members(spark, d):
+    return spark.createDataFrame([("a,b",), ("[x]",)], "v string").select("v", X.escape_members("v").alias("e"))
+
+
+@query("select * from (values ('{a,\"b\",c}', 'a|b|c')) t(v, a)")
+def array_literals(spark, d):
+    v = spark.createDataFrame([('{a,"b",c}',)], "v string")
+    return v.select("v", F.array_join(R.parse_array_literal("v"), "|").alias("a"))
+
+
+@query("select o_orderkey, round(ln(p/(1-p)), 6) as l from (select o_orderkey, greatest(least(o_totalprice/500000, 1-1e-6), 1e-6) p from orders)")
+def logit_clip(spark, d):
+    return T(spark, d, "orders").select("o_orderkey", F.round(X.logit(F.col("o_totalprice") / 500000), 6).alias("l"))
+
+
+@query("select o_orderkey, epoch_us(o_orderdate)/1e6 as s, (o_orderdate::date - date '1970-01-01' + 719163)::double as d from orders")
+def time_axes(spark, d):
+    return T(spark, d, "orders").select("o_orderkey", X.time_axis("o_orderdate", "timestamp").alias("s"), X.time_axis(F.col("o_orderdate").cast("date"), "date").alias("d"))
+
+
+@query("select a.event_id, count(*) as n from events a join events b on a.user_id = b.user_id and b.ts > a.ts and b.ts <= a.ts + interval 30 minute group by 1")
+def stream_interval_join(spark, d):
+    """The batch form of the stream-stream interval join."""
+    e = T(spark, d, "events")
+    h = e.select("user_id", F.col("ts").alias("t2"))
+    j = e.withColumn("b", F.explode(F.array(F.floor(X.micros("ts") / (1800 * FE.SECOND)), F.floor(X.micros("ts") / (1800 * FE.SECOND)) + 1)))
+    k = h.withColumn("b", F.floor(X.micros("t2") / (1800 * FE.SECOND)))
+    return j.join(k, ["user_id", "b"]).where("t2 > ts and t2 <= ts + interval 30 minutes").groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def expert_baseline(spark, d):
+    """Held-out AUC of boosted trees over a small grid, split by time."""
+    o = T(spark, d, "orders").withColumn("label", (F.col("o_orderstatus") == "F").cast("int")).withColumn("m", F.month("o_orderdate"))
+    s = FE.temporal_split(o, "o_orderdate", 0.3).select("label", "o_totalprice", "m", "part")
+    grid = EV.fit_baseline(s.where("part = 'train'"), s.where("part = 'eval'"), ["o_totalprice", "m"], "label")
+    return spark.createDataFrame([(a, b, float(c)) for a, b, c in grid], "depth int, rounds int, auc double")
