@@ -159,7 +159,8 @@ def _annotate(df: DataFrame, benchmark: DataFrame, item_col: str, item_text: str
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k)
         bc = spark.sparkContext.broadcast(compile_windows([tuple(r) for r in part.toLocalIterator()], window))
         how = last if k == blocks - 1 else "keep"
-        fields = [f for f in df.schema if not f.name.startswith("__") or f.name == "__text" and how != "drop"]
+        own = {f.name for f in _STATE} | ({"__text"} if how == "drop" else set())
+        fields = [f for f in df.schema if f.name not in own]
         df = df.mapInArrow(_search(bc, how), StructType(fields + _STATE))
     return df
 

@@ -115,16 +115,16 @@ def mask_secrets(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col:
     """`docs` with each run of overlapping secrets replaced by [SECRET]; all rows and
     columns kept, n_chars (if there) counted anew; other texts, null too, stay as they are."""
     _, by_blob = update_ledger(docs, ledger, RULES, id_col, text_col)
-    held = docs.withColumn("_own", _blob(F.col(text_col).cast("string")))
-    hit = held.join(by_blob.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), F.col("_own") == F.col("_blob"), "left")
-    cut = _masked(F.col(text_col).cast("string"), F.col("_spans"))
-    hit = hit.withColumn("_cut", cut)
+    held = docs.withColumn("__secret_own", _blob(F.col(text_col).cast("string")))
+    hit = held.join(by_blob.select(F.col("blob").alias("__secret_blob"), F.col("spans").alias("__secret_spans")), F.col("__secret_own") == F.col("__secret_blob"), "left")
+    cut = _masked(F.col(text_col).cast("string"), F.col("__secret_spans"))
+    hit = hit.withColumn("__secret_cut", cut)
     cols = []
     for c in docs.columns:
         if c == text_col:
-            cols.append(F.col("_cut").alias(c))
+            cols.append(F.col("__secret_cut").alias(c))
         elif c == "n_chars":
-            cols.append(F.when(F.col("_spans").isNotNull(), F.char_length("_cut")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
+            cols.append(F.when(F.col("__secret_spans").isNotNull(), F.char_length("__secret_cut")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
         else:
             cols.append(F.col(c))
     return hit.select(*cols)

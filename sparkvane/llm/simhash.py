@@ -189,9 +189,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows that repeat an id count as one document and leave one row; a row of
     null id cannot be named by a group and goes. Empty in, empty out."""
     found = durable(near_duplicates(docs, id_col, text_col))
-    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_n"))
-    repeats = not keep.where("_n > 1").isEmpty()
-    kept = docs.join(keep.select("_keep"), docs[id_col] == F.col("_keep"), "left_semi")
+    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__simhash_keep")).agg(F.count(F.lit(1)).alias("__n"))
+    repeats = not keep.where("__n > 1").isEmpty()
+    kept = docs.join(keep.select("__simhash_keep"), docs[id_col] == F.col("__simhash_keep"), "left_semi")
     return kept.dropDuplicates([id_col]) if repeats else kept
 
 
