@@ -216,3 +216,21 @@ def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     kind = found.schema["doc_id"].dataType.simpleString()
     return found.mapInArrow(_digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+_LOW = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _LOW + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP2_SQL = f"""
+with b as (select item_id, {_WORDS.format(t="coalesce(text, '')")} as w from benchmark),
+bw as (select distinct item_id, least(len(w), {WINDOW}) as k, array_to_string(list_slice(w, i, i + {WINDOW} - 1), ' ') as win
+  from (select item_id, w, unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) as i from b where len(w) > 0)),
+ks as (select distinct k from bw),
+d as (select doc_id, {_WORDS.format(t="coalesce(text, '')")} as w from documents),
+dw as (select doc_id, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') as win
+  from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, ks where len(w) >= k)),
+o as (select dw.doc_id, dw.i, dw.k, bw.item_id from dw join bw on dw.k = bw.k and dw.win = bw.win),
+h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from o) group by 1),
+t as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from o group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join t using (doc_id)
+"""

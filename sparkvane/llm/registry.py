@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from .decontaminate import op2_decontaminate
+from .decontaminate import OP2_SQL, op2_decontaminate
 from .langid import op9_language_id
 from .lm import op6_lm_scoring
 from .media import op7_media
 from .packing import op5_packing
 from .pii import op3_pii
-from .secrets import op10_secrets
+from .secrets import OP10_SQL, op10_secrets
 from .sharding import op8_sharding
 from .simhash import op1_simhash
 from .warc import OP4_SQL, op4_warc_revisits
@@ -30,4 +30,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_warc_revisits": OP4_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op4_warc_revisits": OP4_SQL, "op10_secrets": OP10_SQL}

@@ -150,3 +150,31 @@ def op10_secrets(spark, sf_dir: str) -> DataFrame:
     found = found.withColumn("base", F.filter("spans", lambda s: s["k"] < 3))
     counts = [of_kind("base", i).alias(f"n_{KINDS[i]}") for i in range(3)]
     return found.select("doc_id", *counts, F.sha2(span_text(F.col("base"), KINDS), 256).alias("base_sha256"), span_text(F.col("spans"), KINDS).alias("spans"))
+
+
+def _sql_class(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_SQL_ASSIGN = "(" + "|".join(_sql_class(w) for w in ("password", "passwd", "secret", "token")) + "|" + _sql_class("api") + "_?" + _sql_class("key") + ")" + r"""["\'\']?\x20*[:=]\x20*["\'\']?([A-Za-z0-9+/_.=-]+)""".replace("\\'", "'")
+_SQL_PATTERNS = [
+    ("assign", _SQL_ASSIGN, f"length(regexp_extract(m[i], '{_SQL_ASSIGN}', 2)) >= 12"), ("access", "AKIA[A-Z0-9]{14,}", "true"), ("hex", "[0-9a-f]{16,}", "true"),
+    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}-----END [A-Z ]{0,40}PRIVATE KEY-----", "true"),
+    ("github", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", "true"), ("slack", r"\bxox[abprs]-[A-Za-z0-9-]{20,}\b", "true"), ("stripe", r"\b[sr]k_live_[A-Za-z0-9]{20,}\b", "true"),
+]
+
+
+def _sql_spans(k: int, name: str, pattern: str, ok: str) -> str:
+    return f"""select doc_id, {k} as k, '{name}' as kind, s, s + length(m[i]) as e from (
+      select doc_id, m, i, list_sum(list_transform(list_slice(g, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: length(x))), 0) as s from (
+        select doc_id, regexp_extract_all(t, '{pattern}') as m, string_split_regex(t, '{pattern}') as g, unnest(range(1, len(regexp_extract_all(t, '{pattern}')) + 1)) as i from docs)) where {ok}"""
+
+
+OP10_SQL = f"""
+with docs as (select doc_id, coalesce(text, '') as t from documents),
+f as ({" union all ".join(_sql_spans(k, *x) for k, x in enumerate(_SQL_PATTERNS))}),
+a as (select doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
+  string_agg(kind || ':' || s::bigint || ':' || e::bigint, ',' order by s, k) filter (k < 3) as base, string_agg(kind || ':' || s::bigint || ':' || e::bigint, ',' order by s, k) as spans from f group by 1)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join a using (doc_id)
+"""
