@@ -376,7 +376,7 @@ def sketch_feature_vector(spark, d):
     return A.feature_vector(T(spark, d, "events"), "value", [5, 10, 20, 30, 50, 75, 100, 150, 200], ["event_type"])
 
 
-@query()
+@query("select l_returnflag as item, count(*) as count from lineitem group by 1")
 def approx_top_k(spark, d):
     return T(spark, d, "lineitem").agg(F.expr("approx_top_k(l_returnflag, 3)").alias("top")).select(F.inline("top"))
 

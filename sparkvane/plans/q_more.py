@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -428,12 +426,19 @@ def entropy_bits(spark, d):
     return T(spark, d, "customer").select("c_custkey", F.round(X.format_bits("c_name"), 5).alias("bits"))
 
 
-@query()
+_FB = "max(length(regexp_replace({c},'[^0-9]','','g'))*3.321928094887362 + length(regexp_replace({c},'[^A-Za-z]','','g'))*4.700439718141092)"
+
+
+@query(
+    "select \"column\", n as rows, round(fb, 4) as format_bits, d as ndv, round(greatest(case when n >= 2*d then least(fb, log2(d)) else fb end, log2(d)), 4) as bits, greatest(case when n >= 2*d then least(fb, log2(d)) else fb end, log2(d)) >= 24 as enough from ("
+    + " union all ".join(f"select '{c}' as \"column\", count(*) n, count(distinct {c}) d, {_FB.format(c=c)} fb from customer" for c in ("c_name", "c_mktsegment"))
+    + ")"
+)
 def entropy_assessment(spark, d):
-    return DC.entropy_assessment(T(spark, d, "customer"), ["c_name", "c_mktsegment"])
+    return DC.entropy_assessment(T(spark, d, "customer"), ["c_name", "c_mktsegment"]).withColumn("format_bits", F.round("format_bits", 4))
 
 
-@query()
+@query("select * from (values ('c_name','DIRECT_IDENTIFIER'),('c_mktsegment','NONE'),('c_acctbal','SENSITIVE')) t(\"column\", pii_class)")
 def pii_classes(spark, d):
     return DC.propose_classes(T(spark, d, "customer"), ["c_name", "c_mktsegment", "c_acctbal"])
 
@@ -558,7 +563,7 @@ def catalog_ndv(spark, d):
 
 @query("select strftime(o_orderdate, '%Y-%m') as period, count(*) as n from orders group by 1")
 def materialised_periods(spark, d):
-    path = tempfile.mkdtemp() + "/m" if not spark.conf.get("spark.checkpoint.dir", None) else spark.conf.get("spark.checkpoint.dir") + "/materialised"
+    path = R.scratch(spark)
     R.materialise(T(spark, d, "orders"), F.date_format("o_orderdate", "yyyy-MM"), path, ["o_orderpriority"])
     return spark.read.parquet(path).groupBy(F.col("period").cast("string").alias("period")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -584,7 +589,7 @@ def session_window(spark, d):
 @query("select event_type, count(*) as n, round(sum(value), 4) as v from events group by 1")
 def stream_advance(spark, d):
     """Commits of a folder folded one by one through a stream: equal to the batch."""
-    root = tempfile.mkdtemp()
+    root = R.scratch(spark)
     e = T(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     e.repartition(3, "event_id").write.parquet(f"{root}/in")
     st = SS.open_stream(spark, f"{root}/in", e.schema)
