@@ -129,7 +129,8 @@ def concentration(edges: DataFrame, end: str, top: int = 10, by: list[str] = ())
         head = d.orderBy(F.desc("degree"), end).limit(top).agg(F.sum("degree").alias("h"))
         return head.crossJoin(d.agg(F.sum("degree").alias("all"))).select((F.col("h") / F.col("all")).alias("share"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("degree"), end))
-    return d.withColumn("__r", rank).groupBy(*by).agg((F.sum(F.when(F.col("__r") <= top, F.col("degree"))) / F.sum("degree")).alias("share"))
+    head = d.withColumn("__r", rank).where(F.col("__r") <= top).groupBy(*by).agg(F.sum("degree").alias("__h"))  # a rank limit, cut before the shuffle
+    return head.join(d.groupBy(*by).agg(F.sum("degree").alias("__t")), list(by)).select(*by, (F.col("__h") / F.col("__t")).alias("share"))
 
 
 def pair_correlation(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:

@@ -91,12 +91,13 @@ def wasserstein(h: DataFrame, edge: str, by: list[str]) -> DataFrame:
 
 
 def shares_shape(h: DataFrame, by: list[str], n: str = "n") -> DataFrame:
-    """HHI with its variance, Gini and the top share of a histogram."""
+    """HHI with its variance, Gini and the top share of a histogram.
+
+    Keys of equal count are taken together, so what a window orders is the distinct counts."""
+    c = h.groupBy(*by, F.col(n).alias("__n")).agg(F.count(F.lit(1)).alias("__m"))
     w = Window.partitionBy(*by)
-    t = h.withColumns({"__t": F.sum(n).over(w), "__i": F.row_number().over(w.orderBy(n)), "__k": F.count(F.lit(1)).over(w)})
-    s = F.col(n) / F.col("__t")
-    s2, s3 = F.sum(s * s), F.sum(s * s * s)
-    return t.groupBy(*by).agg(
-        F.max("__t").alias("total"), s2.alias("hhi"), (4 / F.max("__t") * (s3 - s2 * s2)).alias("hhi_variance"),
-        (F.sum((2 * F.col("__i") - F.col("__k") - 1) * F.col(n)) / (F.max("__k") * F.max("__t"))).alias("gini"), F.max(s).alias("top1_share"),
-    )
+    t = c.withColumns({"__t": F.sum(F.col("__n") * F.col("__m")).over(w), "__k": F.sum("__m").over(w), "__b": F.sum("__m").over(w.orderBy("__n")) - F.col("__m")})
+    s = F.col("__n") / F.col("__t")
+    s2, s3 = F.sum(F.col("__m") * s * s), F.sum(F.col("__m") * s * s * s)
+    pairs = F.sum(F.col("__n") * F.col("__m") * (2 * F.col("__b") + F.col("__m") - F.col("__k")))
+    return t.groupBy(*by).agg(F.max("__t").alias("total"), s2.alias("hhi"), (4 / F.max("__t") * (s3 - s2 * s2)).alias("hhi_variance"), (pairs / (F.max("__k") * F.max("__t"))).alias("gini"), F.max(s).alias("top1_share"))

@@ -110,16 +110,31 @@ def numeric_drift(df: DataFrame, x: str, at: str, edges: list[float], trailing:
 # -- heavy hitters -------------------------------------------------------------------------------
 
 
+def trailing_pairs(h: DataFrame, at: str, key: str, n: int) -> DataFrame:
+    """As trailing_histograms, but only with keys seen now or in the baseline: each count is
+    handed to the n periods after it, so there is no spine of all periods and keys."""
+    steps = h.select(at).distinct().withColumn("__i", F.row_number().over(Window.orderBy(at)))  # one row a period
+    d = h.join(F.broadcast(steps), at).select("__i", key, "n")
+    ref = d.select(F.explode(F.sequence(F.col("__i") + 1, F.col("__i") + n)).alias("__i"), key, "n").groupBy("__i", key).agg(F.sum("n").alias("n0"))
+    j = d.withColumnRenamed("n", "n1").join(ref, ["__i", key], "full").na.fill(0, ["n1", "n0"])
+    return j.join(F.broadcast(steps), "__i").where("__i > 1").select(at, key, "n1", "n0")
+
+
 def heavy_hitter_shift(h: DataFrame, at: str, key: str, trailing: int = 7, k: int = TOP) -> DataFrame:
-    """z of every key that is among the k largest now or in the baseline; entrants and exits named."""
-    p = trailing_histograms(h, at, key, trailing).where("n0 is not null")
-    t = C.with_totals(p, [at])
-    r1 = F.row_number().over(Window.partitionBy(at).orderBy(F.desc("n1"), key))
-    r0 = F.row_number().over(Window.partitionBy(at).orderBy(F.desc("n0"), key))
-    t = t.withColumns({"r1": F.when(F.col("n1") > 0, r1), "r0": F.when(F.col("n0") > 0, r0)})
-    t = t.where((F.col("r1") <= k) | (F.col("r0") <= k))
+    """z of every key that is among the k largest now or in the baseline; entrants and exits named.
+
+    Top sets are plain rank limits, which Spark cuts before the shuffle."""
+    p = trailing_pairs(h, at, key, trailing)
+
+    def top(c: str, name: str) -> DataFrame:
+        r = F.row_number().over(Window.partitionBy(at).orderBy(F.desc(c), key))
+        return p.where(F.col(c) > 0).withColumn("__r", r).where(F.col("__r") <= k).select(at, key, F.lit(True).alias(name))
+
+    totals = p.groupBy(at).agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"))
+    keys = top("n1", "__now").join(top("n0", "__ref"), [at, key], "full")
+    t = p.join(keys, [at, key]).join(totals, at)
     t = t.withColumn("z", K.two_proportion_z(F.col("n1"), F.col("t1"), F.col("n0"), F.col("t0")))
-    now, ref = F.coalesce(F.col("r1") <= k, F.lit(False)), F.coalesce(F.col("r0") <= k, F.lit(False))
+    now, ref = F.coalesce("__now", F.lit(False)), F.coalesce("__ref", F.lit(False))
     label = F.when(~ref & (F.col("z") > 0), "APPEARED").when(~now & (F.col("z") < 0), "VANISHED").when(F.col("z") > 0, "UP").otherwise("DOWN")
     return t.select(at, key, "n1", "n0", "t1", "t0", "z", label.alias("label"))
 
@@ -247,8 +262,8 @@ def tail_scores(df: DataFrame, ident: str, cols: list[str], method: str = "ecod"
         s = j.groupBy(ident).agg(F.sum(F.greatest(by, (F.col("left_tail") + F.col("right_tail")) / 2)).alias("score"))
     s = s.withColumn("score", F.round("score", 9))  # equal rows stay tied whatever the order of sums
     h = s.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    above = F.sum("n").over(Window.orderBy(F.desc("score"))) / F.sum("n").over(Window.partitionBy())
-    return s.join(h.select("score", above.alias("p")), "score")
+    c = S.cumulative(h, "score", "n")
+    return s.join(c.select("score", ((F.col("total") - F.col("cum") + F.col("n")) / F.col("total")).alias("p")), "score")
 
 
 def matrix_profile(values: list[float], m: int = 8) -> list[tuple[float, int]]:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import cumulative, ranked
+
 
 def _by_score(df: DataFrame, y: str, s: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by, s).agg(F.sum(y).alias("p"), F.count(F.lit(1)).alias("n"))
@@ -15,8 +17,8 @@ def _by_score(df: DataFrame, y: str, s: str, by: list[str]) -> DataFrame:
 
 def roc_auc(df: DataFrame, y: str, s: str, by: list[str] = ()) -> DataFrame:
     """NULL with one class only."""
-    h = _by_score(df, y, s, by)
-    below = F.sum("n").over(Window.partitionBy(*by).orderBy(s)) - F.col("n")
+    h = cumulative(_by_score(df, y, s, by), s, "n", by)
+    below = F.col("cum") - F.col("n")
     h = h.withColumn("r", (below + (F.col("n") + 1) / 2) * F.col("p"))
     p, n = F.sum("p"), F.sum("n")
     return h.groupBy(*by).agg(n.alias("n"), p.alias("positives"), F.try_divide(F.sum("r") - p * (p + 1) / 2, p * (n - p)).alias("auc"))
@@ -25,31 +27,13 @@ def roc_auc(df: DataFrame, y: str, s: str, by: list[str] = ()) -> DataFrame:
 def average_precision(df: DataFrame, y: str, s: str, ident: str) -> DataFrame:
     """Step-wise, in descending score with ties by id.
 
-    The order is global; it is cut into score ranges by range partitioning, ranked inside,
-    and offset by the counts of the ranges before."""
-    d = ranked(df.select(y, s, ident), [F.desc(s), F.asc(ident)], cumulate=y)
+    The order is global; it is cut into score ranges, ranked inside, and offset by the
+    counts of the ranges before."""
+    d = ranked(df.select(y, s, ident), s, ident, cumulate=y)
     a = F.sum(F.when(F.col(y) == 1, F.col("cum") / F.col("rank")))
     return d.agg(F.try_divide(a, F.sum(y)).alias("average_precision"))
 
 
-def ranked(df: DataFrame, order: list, cumulate: str | None = None, parts: int | None = None) -> DataFrame:
-    """Global row numbers (and running sums of a column) without one global sort task."""
-    spark = df.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
-    w = Window.partitionBy("__p").orderBy(*order)
-    d = d.withColumn("__r", F.row_number().over(w))
-    if cumulate:
-        d = d.withColumn("__c", F.sum(cumulate).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    tot = d.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), *([F.sum(cumulate).alias("__s")] if cumulate else []))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    off = tot.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"), *([F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__os")] if cumulate else []))
-    out = d.join(F.broadcast(off), "__p").withColumn("rank", F.col("__r") + F.col("__o"))
-    if cumulate:
-        out = out.withColumn("cum", F.col("__c") + F.col("__os"))
-    return out.select(*df.columns, "rank", *(["cum"] if cumulate else []))
-
-
 def at_k(df: DataFrame, y: str, s: str, ident: str, ks: list[int]) -> DataFrame:
     """precision and recall of the k best, ties by id; only the largest k rows are ordered."""
     total = df.agg(F.sum(y).alias("all"))

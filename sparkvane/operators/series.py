@@ -81,23 +81,73 @@ def rollup_levels(df: DataFrame, index: str, sums: list[str], levels: int = 8, f
     return e.groupBy(*by, "level", "window").agg(*(F.sum(c).alias(c) for c in sums), F.count(F.lit(1)).alias("parts"))
 
 
+COARSE = FINE = 16
+
+
+def range_bucket(df: DataFrame, x: str) -> Column:
+    """Bucket number of a numeric column, monotone in it and of like row counts.
+
+    The cut points are literals (at most COARSE * FINE quantiles, fetched by one
+    aggregate), so the bucket of a row is the same in every evaluation of the plan."""
+    n = COARSE * FINE
+    cuts = df.agg(F.percentile_approx(F.col(x).cast("double"), [i / n for i in range(1, n)], 10_000).alias("c")).first().c or []
+    cuts = sorted(set(cuts))
+    if not cuts:
+        return F.lit(0)
+    groups = [cuts[i : i + FINE] for i in range(0, len(cuts), FINE)]
+    below = lambda values: F.size(F.filter(values, lambda c: c < F.col(x)))
+    coarse = below(F.array(*(F.lit(float(g[-1])) for g in groups)))
+    fine = F.get(F.array(*(F.array(*(F.lit(float(v)) for v in g)) for g in groups)), coarse)
+    return coarse * (FINE + 1) + F.coalesce(below(fine), F.lit(0))
+
+
+def cumulative(h: DataFrame, x: str, n: str, by: list[str] = ()) -> DataFrame:
+    """Adds `cum` (running sum of n up to and with x) and `total`, per group of `by`.
+
+    Sums run inside range buckets and are offset by the buckets before, so a group of
+    many distinct values is never one task."""
+    b = h.withColumn("__b", range_bucket(h, x))
+    inside = F.sum(n).over(Window.partitionBy(*by, "__b").orderBy(x))
+    sizes = b.groupBy(*by, "__b").agg(F.sum(n).alias("__s"))  # COARSE * (FINE + 1) rows a group at most
+    w = Window.partitionBy(*by)
+    off = sizes.select(*by, "__b", F.coalesce(F.sum("__s").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"), F.sum("__s").over(w).alias("total"))
+    return b.withColumn("__i", inside).join(off, [*by, "__b"]).withColumn("cum", F.col("__i") + F.col("__o")).drop("__b", "__i", "__o")
+
+
 def average_rank(df: DataFrame, score: str, by: list[str] = ()) -> DataFrame:
     """Adds `avg_rank` (ties share the mean of their ranks).
 
     Ranks come from the counts of distinct scores, so equal scores never meet in one task's buffer."""
     h = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("__n"))
-    below = F.sum("__n").over(Window.partitionBy(*by).orderBy(score)) - F.col("__n")
-    return df.join(h.withColumn("avg_rank", below + (F.col("__n") + 1) / 2).drop("__n"), [*by, score])
+    ranks = cumulative(h, score, "__n", by).select(*by, score, (F.col("cum") - F.col("__n") + (F.col("__n") + 1) / 2).alias("avg_rank"))
+    return df.join(ranks, [*by, score])
 
 
 def ecdf_tails(df: DataFrame, x: str, by: list[str] = ()) -> DataFrame:
     """-ln of the left and right empirical tails per distinct value."""
     h = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by)
-    total = F.sum("n").over(w)
-    left = F.sum("n").over(w.orderBy(F.asc(x))) / total
-    right = F.sum("n").over(w.orderBy(F.desc(x))) / total
-    return h.select(*by, x, "n", (0.0 - F.ln(left)).alias("left_tail"), (0.0 - F.ln(right)).alias("right_tail"))
+    c = cumulative(h, x, "n", by)
+    left, right = F.col("cum") / F.col("total"), (F.col("total") - F.col("cum") + F.col("n")) / F.col("total")
+    return c.select(*by, x, "n", (0.0 - F.ln(left)).alias("left_tail"), (0.0 - F.ln(right)).alias("right_tail"))
+
+
+def ranked(df: DataFrame, score: str, ident: str, cumulate: str | None = None) -> DataFrame:
+    """`rank` in descending score with ties by id (and `cum`, the running sum of a column),
+    without one global sort task: ranges of scores are ranked apart and offset."""
+    b = df.withColumn("__b", range_bucket(df, score))
+    w = Window.partitionBy("__b").orderBy(F.desc(score), F.asc(ident))
+    b = b.withColumn("__r", F.row_number().over(w))
+    sums = [F.count(F.lit(1)).alias("__n")]
+    if cumulate:
+        b = b.withColumn("__c", F.sum(cumulate).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        sums.append(F.sum(cumulate).alias("__s"))
+    before = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    off = b.groupBy("__b").agg(*sums)
+    off = off.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"), *([F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__os")] if cumulate else []))
+    out = b.join(F.broadcast(off), "__b").withColumn("rank", F.col("__r") + F.col("__o"))
+    if cumulate:
+        out = out.withColumn("cum", F.col("__c") + F.col("__os"))
+    return out.select(*df.columns, "rank", *(["cum"] if cumulate else []))
 
 
 def sliding_windows(df: DataFrame, x: str, at: str, m: int, by: list[str] = ()) -> DataFrame:

@@ -326,7 +326,7 @@ def recurrence(spark, d):
 @query("with f as (select c_custkey fp, row_number() over (order by c_acctbal desc, c_custkey) r from customer), t as (select c_custkey fp, 1 o from customer where c_nationkey < 8), j as (select f.*, o from f left join t using (fp)) select round(avg((o is not null)::int) filter (r <= 10), 6) as precision_at_10, round(avg((o is not null)::int) filter (r <= 50), 6) as precision_at_50, count(distinct fp) filter (o is not null) as distinct_found from j")
 def discovery_score(spark, d):
     c = T(spark, d, "customer")
-    f = EV.ranked(c.select(F.col("c_custkey").alias("fingerprint"), "c_acctbal"), [F.desc("c_acctbal"), F.asc("fingerprint")]).withColumn("surfaced", F.lit(3))
+    f = EV.ranked(c.select(F.col("c_custkey").alias("fingerprint"), "c_acctbal"), "c_acctbal", "fingerprint").withColumn("surfaced", F.lit(3))
     t = c.where("c_nationkey < 8").select(F.col("c_custkey").alias("fingerprint"), F.lit(1).alias("onset"))
     s = EV.discovery_score(f, t)
     return s.select(F.round("precision_at_10", 6).alias("precision_at_10"), F.round("precision_at_50", 6).alias("precision_at_50"), "distinct_found")
