@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from .compare import shares_shape
 
 
 def null_rate(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
@@ -215,14 +216,12 @@ def feature_vector(df: DataFrame, c: str, grid: list[float], by: list[str] = (),
         F.min(x).alias("moment_min"), F.max(x).alias("moment_max"), F.sum(x).alias("moment_sum"), *(F.avg((x <= g).cast("double")).alias(f"cdf_{i}") for i, g in enumerate(grid[:9])), F.percentile(x, qs).alias("__q"),
     )
     h = df.where(x.isNotNull()).groupBy(*by, x.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*by)
-    ranked = h.withColumn("__t", F.sum("__n").over(w)).withColumn("__r", F.row_number().over(w.orderBy(F.desc("__n"), "__v")))
-    s = F.col("__n") / F.col("__t")
-    k = F.count(F.lit(1))
-    shape = ranked.groupBy(*by).agg(
-        *(F.max(F.when(F.col("__r") == i, s)).alias(f"top_{i}_share") for i in range(1, 11)), F.sum(s * s).alias("hhi"), (-F.sum(s * F.ln(s))).alias("entropy"),
-        (1 - F.sum((2 * F.col("__r") - 1) * F.col("__n")) / (k * F.sum("__n"))).alias("gini"),
-    )
+    sizes = shares_shape(h, list(by), "__n").select(*by, "total", "hhi", "gini")
+    logs = h.groupBy(*by).agg(F.sum(F.col("__n") * F.ln("__n")).alias("__l"))
+    head = h.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("__n"), "__v"))).where(F.col("__r") <= 10)  # a rank limit
+    tops = head.groupBy(*by).agg(*(F.max(F.when(F.col("__r") == i, F.col("__n"))).alias(f"__t{i}") for i in range(1, 11)))
+    shape = sizes.join(logs, list(by)).join(tops, list(by)) if by else sizes.crossJoin(logs).crossJoin(tops)
+    shape = shape.select(*by, "hhi", "gini", (F.ln("total") - F.col("__l") / F.col("total")).alias("entropy"), *((F.col(f"__t{i}") / F.col("total")).alias(f"top_{i}_share") for i in range(1, 11)))
     j = base.join(shape, list(by), "left") if by else base.crossJoin(shape)
     q = lambda i: F.element_at("__q", i + 1)
     j = j.withColumns({f"quantile_{str(x)[2:].ljust(2, '0')}": q(i) for i, x in enumerate(qs)})

@@ -53,3 +53,17 @@ def test_cumulative_and_ranks_over_many_ranges(spark):
         want[r[0]] = (k, hits)
     assert {r.i: (r.rank, r.cum) for r in S.ranked(d, "x", "i", "y").collect()} == want
     assert S.cumulative(h.limit(0), "x", "n", ["g"]).count() == 0 and S.ranked(d.limit(0), "x", "i").count() == 0
+
+
+def test_feature_vector_shape(spark):
+    import math
+
+    from sparkvane.operators import aggregates as A
+
+    d = spark.createDataFrame([("a", float(v)) for v in [1] * 30 + [2] * 15 + [3] * 5] + [("b", 1.0)] * 3, "g string, x double")
+    r = {x.g: x for x in A.feature_vector(d, "x", [1, 2, 3, 4, 5, 6, 7, 8, 9], ["g"]).collect()}
+    n = [30, 15, 5]
+    assert len(A.FEATURE_SLOTS) == len(set(A.FEATURE_SLOTS)) == 49 and r["b"].moment_mean is None
+    assert abs(r["a"].hhi - sum((x / 50) ** 2 for x in n)) < 1e-9 and abs(r["a"].entropy + sum(x / 50 * math.log(x / 50) for x in n)) < 1e-9
+    assert abs(r["a"].gini - (2 * (1 * 5 + 2 * 15 + 3 * 30) / (3 * 50) - 4 / 3)) < 1e-9
+    assert (r["a"].top_1_share, r["a"].top_3_share, r["a"].top_4_share, r["a"].cdf_0) == (0.6, 0.1, None, 0.6)
