@@ -67,7 +67,10 @@ def naive_rule(counts: DataFrame, at: str, n: str = "n", nulls: str | None = Non
 
 def trailing_histograms(h: DataFrame, at: str, key: str, n: int) -> DataFrame:
     """(at, key, n1, n0): each period against the sum of the n periods before it, on a
-    dense spine so that an absent category counts 0."""
+    dense spine so that an absent category counts 0.
+
+    For category histograms, which hold at most some thousand keys (aggregates.
+    category_histogram pools the rest); trailing_pairs has no spine and no such bound."""
     spine = h.select(at).distinct().crossJoin(F.broadcast(h.select(key).distinct()))
     d = spine.join(h, [at, key], "left").na.fill(0, ["n"])
     base = F.sum("n").over(Window.partitionBy(key).orderBy(at).rowsBetween(-n, -1))
