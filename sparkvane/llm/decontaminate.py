@@ -69,9 +69,9 @@ def search_shard(texts: list[str | None], q: dict):
     total = int(first[-1])
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[set[str]] = [set() for _ in texts]
-    if total:
-        flat = np.concatenate(ids)
-        known = flat > 0
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    known = flat > 0
+    if known.any():
         begins = known.copy()
         begins[1:] &= ~known[:-1]
         begins[first[:-1][np.asarray(counts) > 0]] |= known[first[:-1][np.asarray(counts) > 0]]
