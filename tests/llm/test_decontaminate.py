@@ -92,3 +92,16 @@ def test_index_and_wavelet():
         p = pats[r, 4 - lens[r] :]
         want = [k for k in range(len(text) - len(p) + 1) if (text[k : k + len(p)] == p).all()]
         assert got.get(r, []) == want
+
+
+def test_shards_at_random():
+    rng = random.Random(12)
+    for _ in range(400):
+        v = ["a", "b", "c", "d", "é"][: rng.randint(1, 5)]
+        bench = [(i, " ".join(rng.choice(v) for _ in range(rng.randint(0, 14)))) for i in range(rng.randint(0, 4))]
+        docs = [(i, rng.choice([None, "", "zz yy"]) if rng.random() < 0.2 else " ".join(rng.choice([*v, "zz"]) for _ in range(rng.randint(0, 40)))) for i in range(rng.randint(0, 6))]
+        q = m.compile_windows(bench)
+        if q is None:
+            continue
+        got = [(i, n, sum(e - s for s, e in spans), len(its)) for (i, _), (n, spans, its) in zip(docs, m.search_shard([t for _, t in docs], q))]
+        assert sorted(got) == [x[:4] for x in brute(docs, bench)]
