@@ -3,10 +3,8 @@
 Texts are tokenised where they lie; pieces, with their rank among the pieces
 of equal length in their partition, are written once. What the driver sees is
 the histogram of piece lengths: at most `capacity` rows at any corpus size.
-Over it runs bin completion: around the largest piece left, branch and bound
-enumerates the undominated fillings, pruned by the waste of the best so far,
-with the best-fit filling as the first incumbent; the filling found is used as
-often as its counts allow. The resulting runs (size, rank range -> sequences)
+Over it runs bin completion: it gives the largest piece left its
+filling of least waste, as often as the counts allow. The resulting runs (size, rank range -> sequences)
 place every piece by a binary search; no group is ever gathered in one task.
 """
 
@@ -67,49 +65,73 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
 def complete_bin(left: dict[int, int], sizes: list[int], room: int, max_nodes: int = 20_000) -> list[int]:
     """The filling of `room` of least waste from `sizes` (descending; left[s] pieces each).
 
-    Depth-first over fillings with non-increasing sizes: best fit first, so the
-    first leaf is the best-fit incumbent. A branch is cut when even its whole
-    tail cannot beat the incumbent; a filling that another one dominates (a
-    piece it could still take) is never a leaf."""
-    from bisect import bisect_left
-
-    neg = [-s for s in sizes]
-    best: list[int] = []
-    best_waste, nodes = room + 1, 0
-    tail = [0] * (len(sizes) + 1)
-    for i in range(len(sizes) - 1, -1, -1):
-        tail[i] = tail[i + 1] + sizes[i] * left[sizes[i]]
-    path: list[int] = []
-
-    def go(i: int, free: int, used: int) -> bool:
-        """used: pieces of sizes[i] already on the path; True ends the search."""
-        nonlocal best, best_waste, nodes
-        nodes += 1
-        j = max(i, bisect_left(neg, -free))
-        leaf = True
-        while j < len(sizes):
-            if free - tail[j] >= best_waste:  # all that is left can't beat the incumbent
-                break
-            s = sizes[j]
-            if left[s] > (used if j == i else 0):
-                leaf = False
-                path.append(s)
-                if go(j, free - s, used + 1 if j == i else 1):
-                    return True
-                path.pop()
-                if nodes > max_nodes:
-                    return True
-            j += 1
-        if leaf and free < best_waste:
-            best, best_waste = path.copy(), free
-        return best_waste == 0 or nodes > max_nodes
-
-    go(0, room, 0)
-    return best
+    The first filling without waste in depth-first order, best fit first; if there is
+    none, or none within `max_nodes` steps, the best sum comes from the table of all
+    sums (one bit each), which has no limit."""
+    spend = [max_nodes]
+    for fill in _fillings(left, sizes, room, 0, spend):
+        return [s for s, k in fill.items() for _ in range(k)]
+    return _best_sum(left, sizes, room)
+
+
+def _best_sum(left: dict[int, int], sizes: list[int], room: int) -> list[int]:
+    """Largest sum up to `room`: bits of an integer are the sums that can be had."""
+    mask, reach, steps = (1 << room + 1) - 1, 1, []
+    for s in sizes:
+        n, k = min(left[s], room // s), 1
+        while n > 0:
+            k = min(k, n)
+            steps.append((s, k, reach))
+            reach |= reach << s * k & mask
+            n, k = n - k, 2 * k
+        if reach >> room & 1:
+            break
+    at, out = reach.bit_length() - 1, []
+    for s, k, before in reversed(steps):
+        if not before >> at & 1:
+            out += [s] * k
+            at -= s * k
+    return sorted(out, reverse=True)
+
+
+def _fillings(left: dict[int, int], sizes: list[int], room: int, slack: int, spend: list[int], less: int = 0):
+    """Undominated fillings {size: pieces} of `room` that waste at most `slack`, depth
+    first in the order of `sizes`, as many copies as fit first. One piece of size `less`
+    is not to be had. A step takes all copies of a size at once; spend[0] steps at most."""
+    n = len(sizes)
+    have = [left[s] - (s == less) for s in sizes]
+    tail, least = [0] * (n + 1), [room + 1] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        tail[i] = tail[i + 1] + sizes[i] * have[i]
+        least[i] = min(least[i + 1], sizes[i]) if have[i] > 0 else least[i + 1]
+    path: list[list[int]] = []  # [position, copies]
+    i, free = 0, room
+    while spend[0] > 0:
+        spend[0] -= 1
+        if free >= least[i] and free - tail[i] <= slack:
+            while sizes[i] > free or not have[i]:
+                i += 1
+            k = min(have[i], free // sizes[i])
+            path.append([i, k])
+            free -= k * sizes[i]
+            i += 1
+            continue
+        if free <= slack:
+            used = dict(path)
+            if free < least[0] or not any(s <= free and have[j] > used.get(j, 0) for j, s in enumerate(sizes)):
+                yield {sizes[j]: k for j, k in path}
+        if not path:
+            return
+        j = path[-1][0]
+        path[-1][1] -= 1
+        free += sizes[j]
+        if not path[-1][1]:
+            path.pop()
+        i = j + 1
 
 
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """[(filling {size: pieces}, sequences)] using up all counts, largest piece first."""
+    """Largest piece first, each with its filling of least waste, used as often as can be."""
     from bisect import bisect_left
     from collections import Counter
 
@@ -120,9 +142,7 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
         big = -neg[0]
         left[big] -= 1
         room = capacity - big
-        at = bisect_left(neg, -room)
-        # the window of candidate sizes: the search is exact inside it, and best fit sees all
-        sizes = [-s for s in neg[at:] if left[-s] > 0]
+        sizes = [-s for s in neg[bisect_left(neg, -room) :] if left[-s] > 0]
         fill = complete_bin(left, sizes, room) if room and sizes else []
         left[big] += 1
         bin_ = Counter([big, *fill])

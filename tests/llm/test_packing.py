@@ -77,3 +77,11 @@ def test_filling_is_the_best():
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_many_tiny_pieces_in_a_bin(spark):
+    assert sum(m for _, m in pack_histogram({1: 10_000})) == 3
+    assert sum(m for _, m in pack_histogram({2097: 1, 1: 1999, 3: 900})) == 2
+    rows = [*((i, None if i % 2 else " ") for i in range(10_000)), (10_000, "alpha beta")]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    assert len(got) == len(rows) and max(r.sequence_id for r in got) == 2
