@@ -3,8 +3,11 @@
 Texts are tokenised where they lie; pieces, with their rank among the pieces
 of equal length in their partition, are written once. What the driver sees is
 the histogram of piece lengths: at most `capacity` rows at any corpus size.
-Over it runs bin completion: it gives the largest piece left its
-filling of least waste, as often as the counts allow. The resulting runs (size, rank range -> sequences)
+Over it runs bin completion: the incumbent gives the largest piece left its
+filling of least waste, as often as the counts allow; where that needs more
+than the lower bound, branch and bound goes over the undominated fillings of
+the largest piece, pruned by the waste that the wanted number of sequences has
+to spare, within a fixed number of steps. The resulting runs (size, rank range -> sequences)
 place every piece by a binary search; no group is ever gathered in one task.
 """
 
@@ -21,6 +24,9 @@ from .wordbpe import text_tokenizer
 
 CAPACITY = 4096
 END_ID = 1
+#: steps of the search over packings; size counts up to which it remembers states and tries other orders
+STEPS = 400_000
+FEW = 64
 
 
 def _pieces(path: str, capacity: int):
@@ -130,7 +136,73 @@ def _fillings(left: dict[int, int], sizes: list[int], room: int, slack: int, spe
         i = j + 1
 
 
-def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
+    """Bins that any packing needs (Martello and Toth's L2)."""
+    import numpy as np
+
+    n = np.zeros(capacity + 1, np.int64)
+    for s, k in counts.items():
+        n[s] = k
+    many, tokens = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    half = capacity // 2
+    a = np.arange(1, half + 1)  # pieces under a are left out
+    big, big_tokens = many[capacity - a] - many[half], tokens[capacity - a] - tokens[half]
+    rest = tokens[half] - tokens[a - 1] - (big * capacity - big_tokens)
+    whole = many[capacity] - many[half]
+    return int(max(-(-tokens[capacity] // capacity), whole + np.maximum(0, -(-rest // capacity)).max(initial=0)))
+
+
+def _moves(left: dict[int, int], sizes: list[int], capacity: int, slack: int, spend: list[int]):
+    """(filling, sequences, waste) for the largest piece left, many sequences at once first."""
+    live = [s for s in sizes if left[s]]
+    big = max(live)
+    for fill in _fillings(left, live, capacity - big, slack, spend, big):
+        fill[big] = fill.get(big, 0) + 1
+        waste = capacity - sum(s * k for s, k in fill.items())
+        m = min(left[s] // k for s, k in fill.items())
+        if waste:
+            m = min(m, slack // waste)
+        while m:
+            yield fill, m, m * waste
+            m //= 2
+
+
+def _search(counts: dict[int, int], sizes: list[int], capacity: int, bins: int, spend: list[int]):
+    """A packing into `bins` sequences, by branching over the fillings of the largest piece
+    left; a branch ends when its waste passes what `bins` sequences have to spare."""
+    left = dict(counts)
+    slack = bins * capacity - sum(s * n for s, n in counts.items())
+    seen: set[tuple] = set()
+    plan: list[tuple] = []
+    frames = [_moves(left, sizes, capacity, slack, spend)]
+    while frames and spend[0] > 0:
+        move = next(frames[-1], None)
+        if move is None:
+            frames.pop()
+            if plan:
+                fill, m, waste = plan.pop()
+                slack += waste
+                for s, k in fill.items():
+                    left[s] += m * k
+            continue
+        fill, m, waste = move
+        for s, k in fill.items():
+            left[s] -= m * k
+        slack -= waste
+        plan.append((dict(fill), m, waste))
+        if not any(left.values()):
+            return [(f, m) for f, m, _ in plan]
+        state = (slack, *left.values()) if len(sizes) <= FEW else None
+        if state in seen:
+            frames.append(iter(()))
+        else:
+            if state:
+                seen.add(state)
+            frames.append(_moves(left, sizes, capacity, slack, spend))
+    return None
+
+
+def _greedy(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Largest piece first, each with its filling of least waste, used as often as can be."""
     from bisect import bisect_left
     from collections import Counter
@@ -156,6 +228,35 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
     return out
 
 
+def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[dict[int, int], int]]:
+    """[(filling {size: pieces}, sequences)] using up all counts.
+
+    The greedy packing is the incumbent. Where it needs more than the lower bound, branch
+    and bound looks for packings of the bound and up, in several orders of the sizes. It
+    takes `steps` steps in all; what is not found by then stays with the incumbent."""
+    import random
+
+    counts = {s: n for s, n in sorted(counts.items(), reverse=True) if n > 0}
+    best = _greedy(counts, capacity)
+    have, low = sum(m for _, m in best), lower_bound(counts, capacity)
+    down = list(counts)
+    orders = [down]
+    if len(down) <= FEW:
+        rng = random.Random(len(down))
+        orders += [down[::-1], *(rng.sample(down, len(down)) for _ in range(6))]
+    gap = 0
+    while low + gap < have and steps > 0:
+        for order in orders:
+            spend = [min(steps, STEPS // 40)]
+            steps -= spend[0]
+            plan = _search(counts, order, capacity, low + gap, spend)
+            steps += spend[0]
+            if plan:
+                return plan
+        gap = 2 * gap or gap + 1
+    return best
+
+
 def placement(plan: list[tuple[dict[int, int], int]]):
     """Arrays of runs sorted by (size, first rank): first key, first sequence, offset, pieces per sequence."""
     import numpy as np

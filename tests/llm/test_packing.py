@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from sparkvane.llm.packing import complete_bin, pack, pack_histogram
+from sparkvane.llm.packing import complete_bin, lower_bound, pack, pack_histogram
 from sparkvane.llm.wordbpe import text_tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -85,3 +85,26 @@ def test_many_tiny_pieces_in_a_bin(spark):
     rows = [*((i, None if i % 2 else " ") for i in range(10_000)), (10_000, "alpha beta")]
     got = pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
     assert len(got) == len(rows) and max(r.sequence_id for r in got) == 2
+
+
+def test_other_fillings_are_tried():
+    assert sum(m for _, m in pack_histogram({1024: 1000, 768: 4000})) == 1000
+
+
+def test_planted_bins():
+    """Perfect bins of few lengths; no packing is under the bound, all pieces are used."""
+    rng = random.Random(11)
+    for _ in range(20):
+        counts, n = Counter(), 0
+        for _ in range(3):
+            cuts = sorted(rng.sample(range(1, 16), rng.randint(1, 4)))
+            m = rng.randint(50, 500)
+            n += m
+            for a, b in zip([0, *cuts], [*cuts, 16]):
+                counts[256 * (b - a)] += m
+        plan, used = pack_histogram(counts), Counter()
+        for b, m in plan:
+            assert sum(s * k for s, k in b.items()) <= 4096
+            for s, k in b.items():
+                used[s] += k * m
+        assert used == counts and lower_bound(counts) == n == sum(m for _, m in plan)
