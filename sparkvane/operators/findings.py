@@ -6,19 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import half_life
+from .series import ranked
+
+BLOCK = 1 << 16
 
 
 def benjamini_hochberg(df: DataFrame, p: str, ident: str, family: int | None = None, level: float = 0.10) -> DataFrame:
     """Step-up q values with a family of at least the tests seen; NULL p gives NULL q.
 
-    The family of one run is small; its window is not partitioned."""
-    n = F.greatest(F.count(p).over(Window.partitionBy()), F.lit(family or 0))
-    rank = F.row_number().over(Window.orderBy(F.asc_nulls_last(p), ident))
-    d = df.withColumns({"__m": n, "__r": rank})
-    after = Window.orderBy("__r").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    raw = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * F.col("__m") / F.col("__r")))
-    q = F.when(F.col(p).isNotNull(), F.min(raw).over(after))
-    return d.withColumn("q", q).withColumn("rejected", F.coalesce(q <= level, F.lit(False))).drop("__m", "__r")
+    Ranks come from ranges of p (`ranked`), the least value from a rank on from blocks of
+    BLOCK ranks and the blocks after them, so no task holds the whole family."""
+    num = F.col(p).cast("double")
+    tests = df.where(F.col(p).isNotNull()).withColumn("__s", F.when(F.isnan(num), float("-inf")).otherwise(-num))
+    size = tests.agg(F.greatest(F.count(F.lit(1)), F.lit(family or 0)).alias("__m"))
+    d = ranked(tests, "__s", ident).crossJoin(F.broadcast(size))
+    d = d.withColumns({"__b": F.floor((F.col("rank") - 1) / BLOCK), "__q": F.least(F.lit(1.0), F.col(p) * F.col("__m") / F.col("rank"))})
+    later = Window.orderBy("__b").rowsBetween(1, Window.unboundedFollowing)  # one row a block
+    off = d.groupBy("__b").agg(F.min("__q").alias("__l")).select("__b", F.min("__l").over(later).alias("__l"))
+    inside = F.min("__q").over(Window.partitionBy("__b").orderBy("rank").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    d = d.withColumn("__i", inside).join(off, "__b").select(*df.columns, F.least("__i", "__l").alias("q"))
+    d = d.unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
+    return d.withColumn("rejected", F.coalesce(F.col("q") <= level, F.lit(False)))
 
 
 def direction(effects: Column) -> Column:

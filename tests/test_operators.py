@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -229,3 +230,18 @@ def test_plans_keep_to_few_shuffles(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     text = A.null_rate(e, ["value", "event_type"])._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") == 1 and "props" not in text
+
+
+def test_benjamini_hochberg_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(FS, "BLOCK", 50)
+    rows = [(i, None if i % 97 == 0 else (i * 7919 % 613) / 613.0 * (i % 3 + 1) / 3) for i in range(2000)]
+    d = FS.benjamini_hochberg(spark.createDataFrame(rows, "i long, p double"), "p", "i")
+    seen = sorted((p, i) for i, p in rows if p is not None)
+    want, least = {i: None for i, p in rows if p is None}, 1.0
+    for k in range(len(seen), 0, -1):
+        p, i = seen[k - 1]
+        want[i] = least = min(least, p * len(seen) / k)
+    got = {r.i: r.q for r in d.collect()}
+    assert got.keys() == want.keys() and all((got[i] is None) == (q is None) and (q is None or abs(got[i] - q) < 1e-12) for i, q in want.items())
+    specs = re.findall(r"windowspecdefinition\((\w+)", d._jdf.queryExecution().optimizedPlan().toString())
+    assert specs and set(specs) == {"__b"}  # every window is of a range, or of one row a range
