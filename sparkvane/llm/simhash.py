@@ -57,10 +57,9 @@ class BKTree:
             d = (self.values[at] ^ x).bit_count()
             if d <= radius:
                 out.append(at)
-            kids = self.children[at]
-            for k in range(max(0, d - radius), d + radius + 1):
-                nxt = kids.get(k)
-                if nxt is not None:
+            low, high = d - radius, d + radius
+            for k, nxt in self.children[at].items():
+                if low <= k <= high:
                     stack.append(nxt)
         return out
 
