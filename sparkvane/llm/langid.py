@@ -1,26 +1,27 @@
 """Language ID by language-bitmask n-gram filters.
 
 Training counts letter trigrams (with word edges) per language over all
-labelled texts of the training folds. A trigram belongs to a language where it
-has at least SHARE of the language's trigrams and at least RATIO of its
-largest share in any language; so a language has at most 1 / SHARE trigrams,
-which bounds what is broadcast. A bit-sliced Bloom filter holds, at each of its
-positions, a mask with one bit per language: ANDing the masks at an n-gram's
-positions gives all languages that contain it. Per language the set bits are
-counted over the text, corrected for the filter's false positives; the largest
-count decides.
+labelled texts of the training folds. A language contains a trigram that makes
+up at least SHARE of its trigrams, whatever other languages do; so it has at
+most 1 / SHARE, which, with at most LANGUAGES languages, bounds what is
+broadcast. A bit-sliced Bloom filter holds, at each of its positions, a mask
+with one bit per language: ANDing the masks at an n-gram's positions gives all
+languages that contain it. Per language the set bits are counted over the text,
+corrected for the filter's false positives; the largest count decides.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, is_fold, read, slices
+from .common import durable, fold, is_fold, read, slices
 
-SHARE, RATIO = 1e-5, 0.5
+SHARE = 3e-4
+LANGUAGES = 1024
+REJECT = 0.1  # of a text whose best language contains a smaller part of its trigrams
 HASHES, BITS_PER_GRAM = 4, 16
 _EDGE = 0x20
 
@@ -93,16 +94,18 @@ def _count_grams(batches):
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in (hit // n).tolist()], pa.string()), pa.array(g.keys[hit % n]), pa.array(counts[hit].astype(np.int64))], ["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, share: float = SHARE, ratio: float = RATIO, lang_col="lang", text_col="text"):
-    """(languages, [gram -> mask]) from rows with a language and a text; None of either: ignored."""
+def train(docs: DataFrame, share: float = SHARE, lang_col="lang", text_col="text"):
+    """(languages, [(number of the language, gram)]) from rows with a language and a text;
+    rows that lack either are ignored. Over LANGUAGES languages are refused."""
     d = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = d.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("lang"))
-    shares = counts.withColumn("p", F.col("n") / total)
-    kept = shares.withColumn("top", F.max("p").over(Window.partitionBy("gram"))).where((F.col("p") >= share) & (F.col("p") >= ratio * F.col("top")))
-    rows = kept.select("lang", "gram").collect()  # at most 1 / share rows a language
-    langs = sorted({r.lang for r in rows})
-    return langs, [(langs.index(r.lang), r.gram) for r in rows]
+    counts = durable(d.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    langs = [r.lang for r in totals.select("lang").orderBy("lang").limit(LANGUAGES + 1).collect()]
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
+    number = {x: i for i, x in enumerate(langs)}
+    rows = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= share * F.col("total")).select("lang", "gram").collect()  # at most 1 / share a language
+    return langs, [(number[r.lang], r.gram) for r in rows]
 
 
 class BitSlicedFilter:
@@ -112,12 +115,13 @@ class BitSlicedFilter:
         import numpy as np
 
         self.langs = langs
-        per = max([1, *np.bincount([i for i, _ in grams], minlength=1).tolist()])
-        self.size = 1 << int(per * BITS_PER_GRAM - 1).bit_length()
+        of: list[list[int]] = [[] for _ in langs]
+        for i, g in grams:
+            of[i].append(g)
+        self.size = 1 << int(max([1, *map(len, of)]) * BITS_PER_GRAM - 1).bit_length()
         self.words = np.zeros((max(1, -(-len(langs) // 64)), self.size), np.uint64)
-        for i in range(len(langs)):
-            keys = np.array([g for j, g in grams if j == i], np.int64)
-            for at in self._places(keys):
+        for i, keys in enumerate(of):
+            for at in self._places(np.array(keys, np.int64)):
                 self.words[i // 64, at] |= np.uint64(1 << (i % 64))
         fill = [float(((self.words[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(langs))]
         self.false = [f**HASHES for f in fill]
@@ -183,17 +187,28 @@ def predict(docs: DataFrame, model: BitSlicedFilter, id_col="doc_id", text_col="
     return d.mapInArrow(_predict(bc), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: BitSlicedFilter, text_col: str = "text") -> DataFrame:
-    """`docs` without the rows predicted `und`; all columns and other rows stay as they are."""
+def keep_known(docs: DataFrame, model: BitSlicedFilter, text_col: str = "text", lang_col: str = "lang", reject: float = REJECT) -> DataFrame:
+    """`docs` without the rows whose text is null, has no letter or scores under `reject`;
+    all columns and other rows stay as they are, but a null `lang_col` (if there is one, of
+    strings) becomes the predicted language. A model without languages rejects only texts
+    without a letter."""
     bc = docs.sparkSession.sparkContext.broadcast(model)
+    fill = lang_col in docs.columns and dict(docs.dtypes)[lang_col] == "string" and bool(model.langs)
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
+            at = batch.schema.get_field_index(text_col)
             for b in slices(batch, 1 << 20, text_col):
-                lang, _ = bc.value.classify(Grams(b.column(b.schema.get_field_index(text_col)).to_pylist()))
-                yield b.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+                grams = Grams(b.column(at).to_pylist())
+                lang, score = bc.value.classify(grams)
+                ok = [bool(has) and (s >= reject or not bc.value.langs) for has, s in zip(grams.has_letter, score)]
+                if fill:
+                    k = b.schema.get_field_index(lang_col)
+                    b = b.set_column(k, b.schema.field(k), pc.coalesce(b.column(k), pa.array(lang, b.column(k).type)))
+                yield b.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

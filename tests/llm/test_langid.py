@@ -1,6 +1,9 @@
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from sparkvane.llm import langid as m
 
@@ -62,3 +65,48 @@ def test_edges(spark, tmp_path):
     assert m.train(none) == ([], [])
     one = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     assert m.predict(one, m.BitSlicedFilter([], [])).first().lang_pred == "und"
+
+
+def test_prediction_against_sets(spark, sf):
+    """The whole prediction, by exact sets of trigrams and no filter."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+
+    counts = {}
+    for r in rows:
+        if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            counts.setdefault(r.lang, Counter()).update(brute_grams(r.text))
+    sets = {k: {g for g, n in c.items() if n >= m.SHARE * sum(c.values())} for k, c in counts.items()}
+    got = {r.doc_id: r for r in m.predict(docs, m.trained_filter(docs)).collect()}
+    same = 0
+    for r in rows:
+        g = brute_grams(r.text or "")
+        if not g:
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        hits = {k: sum(x in s for x in g) for k, s in sets.items()}
+        best = max(hits.values())
+        p = got[r.doc_id]
+        assert hits[p.lang_pred] >= best - max(2, 0.02 * len(g))
+        assert abs(p.score - best / len(g)) < 0.1
+        same += hits[p.lang_pred] == best
+    assert same >= 0.98 * len(rows)
+
+
+def test_stage_keeps_an_unlabelled_corpus(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "... 12", None), (3, None, "en")], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in m.keep_known(docs, m.trained_filter(docs)).collect()] == [1]
+
+
+def test_stage_fills_the_language_and_rejects_the_unknown(spark):
+    seen = [(i, "the words of the other side are here and there", "en") for i in range(20)]
+    docs = spark.createDataFrame([*seen, (30, "here the other words are", None), (31, "каждый охотник желает знать", "en"), (32, "qzx xqz zxq vvkq", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in m.keep_known(docs, m.BitSlicedFilter(*m.train(docs.where("doc_id < 20")))).collect()}
+    assert got == {**{i: "en" for i in range(20)}, 30: "en"}
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(m, "LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "abc def", f"l{i}") for i in range(3)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        m.train(docs)
