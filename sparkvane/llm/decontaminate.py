@@ -1,7 +1,8 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-The benchmark is the stated query set: its windows, in blocks of bounded size,
-are broadcast. Every shard of whole documents (SHARD_BYTES) becomes an
+The benchmark is the stated query set: its windows, in blocks of BLOCK windows
+(long items are cut, with the overlap that windows need), are compiled and
+broadcast one block at a time. Every shard of whole documents (SHARD_BYTES) becomes an
 FM-index over the words of the block's vocabulary; a run of fewer such words
 than the shortest window cannot hold one and is left out, which loses nothing.
 All windows are searched backwards at once, located by sampled suffix
@@ -11,19 +12,17 @@ positions, and their spans merged. Nothing is shuffled.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from collections import defaultdict
 from itertools import repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import fold, read, slices
+from .common import durable, fold, read, slices
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK = 1 << 19  # windows
 SHARD_BYTES = 4 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # of texts as they are
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -35,22 +34,47 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_TABLE).split() if text else []
 
 
-def compile_windows(items: list[tuple[object, str | None]], window: int = WINDOW) -> dict | None:
-    """Distinct windows as symbol rows, right-aligned, with the items they come from."""
+def blocks(items, window: int = WINDOW, most: int = BLOCK):
+    """Lists of (item, words) of at most `most` windows; an item of more is cut."""
+    part, held = [], 0
+    for ident, text in items:
+        w = words_of(text)
+        if not w:
+            continue
+        at = 0
+        while True:
+            take = min(most - held, max(1, len(w) - at - window + 1))
+            part.append((ident, w[at : at + take + window - 1]))
+            held, at = held + take, at + take
+            if held == most:
+                yield part
+                part, held = [], 0
+            if at + window - 1 >= len(w):
+                break
+    if part:
+        yield part
+
+
+def compile_windows(items, window: int = WINDOW) -> dict | None:
+    """Distinct windows of (item, words) as symbol rows, right-aligned; window r is of the
+    items names[i], i in who[of[r]:of[r + 1]]."""
     import numpy as np
 
     vocab: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], set[str]] = defaultdict(set)
-    for ident, text in items:
-        w = [vocab.setdefault(x, len(vocab) + 1) for x in words_of(text)]
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            found[tuple(w[i : i + window])].add("" if ident is None else str(ident))
-    if not found:
+    number: dict[str, int] = {}
+    rows, owner = [], []
+    for ident, words in items:
+        w = np.array([vocab.setdefault(x, len(vocab) + 1) for x in words], np.int32)
+        if len(w) < window:
+            w = np.concatenate((np.zeros(window - len(w), np.int32), w))
+        rows.append(np.lib.stride_tricks.sliding_window_view(w, window))
+        owner.append(np.full(len(rows[-1]), number.setdefault("" if ident is None else str(ident), len(number)), np.int64))
+    if not rows:
         return None
-    pats = np.zeros((len(found), window), np.int64)
-    for r, p in enumerate(found):
-        pats[r, window - len(p) :] = p
-    return {"vocab": vocab, "patterns": pats, "lengths": np.array([len(p) for p in found]), "items": [sorted(x) for x in found.values()]}
+    pats, back = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+    pairs = np.unique(back.reshape(-1) * len(number) + np.concatenate(owner))
+    of = np.searchsorted(pairs, np.arange(len(pats) + 1) * len(number))
+    return {"vocab": vocab, "patterns": pats.astype(np.int64), "lengths": (pats > 0).sum(axis=1), "names": list(number), "of": of, "who": (pairs % len(number)).astype(np.int32)}
 
 
 def search_shard(texts: list[str | None], q: dict):
@@ -106,7 +130,7 @@ def search_shard(texts: list[str | None], q: dict):
                     e = int(s + off[0]) if len(off) else int(first[d + 1])
                     spans[d].append((int(s - first[d]), e - int(first[d])))
                 for d, r in set(zip(doc.tolist(), which.tolist())):
-                    items[d].update(q["items"][r])
+                    items[d].update(q["names"][i] for i in q["who"][q["of"][r] : q["of"][r + 1]])
     return list(zip(counts, spans, items))
 
 
@@ -151,17 +175,22 @@ def _search(bc, last: str):
 
 
 def _annotate(df: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, window: int, last: str) -> DataFrame:
-    spark = df.sparkSession
-    bench = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
-    size = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    for k in range(blocks):
-        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k)
-        bc = spark.sparkContext.broadcast(compile_windows([tuple(r) for r in part.toLocalIterator()], window))
-        how = last if k == blocks - 1 else "keep"
+    """`df` (no column of its own begins with two underscores but __text) with the state columns.
+    Runs a job per block while it is planned; what a block but the last finds is written out."""
+    bench = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t"))
+    todo = blocks((tuple(r) for r in bench.toLocalIterator()), window)
+    part = next(todo, [])
+    while part is not None:
+        following = next(todo, None)
+        bc = df.sparkSession.sparkContext.broadcast(compile_windows(part, window))
+        how = last if following is None else "keep"
         own = {f.name for f in _STATE} | ({"__text"} if how == "drop" else set())
         fields = [f for f in df.schema if f.name not in own]
         df = df.mapInArrow(_search(bc, how), StructType(fields + _STATE))
+        if following is not None:
+            df = durable(df)
+            bc.destroy()
+        part = following
     return df
 
 
@@ -181,9 +210,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col="text", item_c
     follows it); all rows and columns kept, n_chars (if there) counted anew.
 
     A document without hits keeps its text as it is, null included."""
-    held = docs.withColumn("__text", F.col(text_col).cast("string")).drop(text_col)
+    names = docs.columns
+    at = names.index(text_col)
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))  # no name clashes then
+    held = inner.withColumn("__text", F.col(f"c{at}").cast("string")).drop(f"c{at}")
     out = _annotate(held, benchmark, item_col, item_text, window, "cut")
-    cols = [F.col("__text").alias(c) if c == text_col else F.coalesce(F.when(F.size("__starts") > 0, F.char_length("__text")), F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    cols = []
+    for i, c in enumerate(names):
+        old = F.col("__text" if i == at else f"c{i}")
+        if c == "n_chars":
+            old = F.coalesce(F.when(F.size("__starts") > 0, F.char_length("__text")), old).cast(docs.schema[i].dataType)
+        cols.append(old.alias(c))
     return out.select(*cols)
 
 

@@ -21,7 +21,8 @@ from .common import durable, fold, is_fold, read, slices
 
 SHARE = 3e-4
 LANGUAGES = 1024
-REJECT = 0.1  # of a text whose best language contains a smaller part of its trigrams
+REJECT = 0.1  # a text goes whose best language contains a smaller part of its trigrams,
+ENOUGH = 30_000  # if every language was learned from as many trigrams at least
 HASHES, BITS_PER_GRAM = 4, 16
 _EDGE = 0x20
 
@@ -94,26 +95,33 @@ def _count_grams(batches):
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in (hit // n).tolist()], pa.string()), pa.array(g.keys[hit % n]), pa.array(counts[hit].astype(np.int64))], ["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, share: float = SHARE, lang_col="lang", text_col="text"):
-    """(languages, [(number of the language, gram)]) from rows with a language and a text;
-    rows that lack either are ignored. Over LANGUAGES languages are refused."""
+def _train(docs: DataFrame, share: float = SHARE, lang_col="lang", text_col="text"):
+    """train(), and the trigrams of the language that has the fewest."""
     d = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     counts = durable(d.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    langs = [r.lang for r in totals.select("lang").orderBy("lang").limit(LANGUAGES + 1).collect()]
+    of = totals.orderBy("lang").limit(LANGUAGES + 1).collect()
+    langs = [r.lang for r in of]
     if len(langs) > LANGUAGES:
         raise ValueError(f"over {LANGUAGES} languages")
     number = {x: i for i, x in enumerate(langs)}
     rows = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= share * F.col("total")).select("lang", "gram").collect()  # at most 1 / share a language
-    return langs, [(number[r.lang], r.gram) for r in rows]
+    return langs, [(number[r.lang], r.gram) for r in rows], min((r.total for r in of), default=0)
+
+
+def train(docs: DataFrame, share: float = SHARE, lang_col="lang", text_col="text"):
+    """(languages, [(number of the language, gram)]) from rows with a language and a text;
+    rows that lack either are ignored. Over LANGUAGES languages are refused."""
+    return _train(docs, share, lang_col, text_col)[:2]
 
 
 class BitSlicedFilter:
     """One mask word per position (several for over 64 languages)."""
 
-    def __init__(self, langs: list[str], grams: list[tuple[int, int]]) -> None:
+    def __init__(self, langs: list[str], grams: list[tuple[int, int]], learned: int = 0) -> None:
         import numpy as np
 
+        self.learned = learned
         self.langs = langs
         of: list[list[int]] = [[] for _ in langs]
         for i, g in grams:
@@ -190,9 +198,10 @@ def predict(docs: DataFrame, model: BitSlicedFilter, id_col="doc_id", text_col="
 def keep_known(docs: DataFrame, model: BitSlicedFilter, text_col: str = "text", lang_col: str = "lang", reject: float = REJECT) -> DataFrame:
     """`docs` without the rows whose text is null, has no letter or scores under `reject`;
     all columns and other rows stay as they are, but a null `lang_col` (if there is one, of
-    strings) becomes the predicted language. A model without languages rejects only texts
-    without a letter."""
+    strings) becomes the predicted language. A model learned from fewer than ENOUGH trigrams in some
+    language, or without languages, rejects only texts without a letter."""
     bc = docs.sparkSession.sparkContext.broadcast(model)
+    sure = model.learned >= ENOUGH
     fill = lang_col in docs.columns and dict(docs.dtypes)[lang_col] == "string" and bool(model.langs)
 
     def run(batches):
@@ -204,7 +213,7 @@ def keep_known(docs: DataFrame, model: BitSlicedFilter, text_col: str = "text",
             for b in slices(batch, 1 << 20, text_col):
                 grams = Grams(b.column(at).to_pylist())
                 lang, score = bc.value.classify(grams)
-                ok = [bool(has) and (s >= reject or not bc.value.langs) for has, s in zip(grams.has_letter, score)]
+                ok = [bool(has) and (s >= reject or not sure) for has, s in zip(grams.has_letter, score)]
                 if fill:
                     k = b.schema.get_field_index(lang_col)
                     b = b.set_column(k, b.schema.field(k), pc.coalesce(b.column(k), pa.array(lang, b.column(k).type)))
@@ -214,7 +223,7 @@ def keep_known(docs: DataFrame, model: BitSlicedFilter, text_col: str = "text",
 
 
 def trained_filter(docs: DataFrame, id_col="doc_id") -> BitSlicedFilter:
-    return BitSlicedFilter(*train(docs.where(~is_fold(id_col, 3))))
+    return BitSlicedFilter(*_train(docs.where(~is_fold(id_col, 3))))
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

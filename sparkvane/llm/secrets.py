@@ -4,7 +4,9 @@ A text is a blob named by the SHA-256 of its bytes; ids are the paths under
 which its versions appear. The ledger is a Parquet table (blob, rule, spans)
 in a folder that outlives a run. A scan lists the (blob, rule version) pairs
 that the ledger lacks, reads one text for each unseen blob, appends what it
-finds (blobs without findings too) and joins the ledger back to all paths.
+finds (blobs without findings too) and joins the ledger back to all paths. Up
+to FEW unseen blobs are sought by a broadcast of their names, so that no text
+moves; of more, the texts are shuffled to the names.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql.utils import AnalysisException
 
 from .common import durable, fold, read, shared_dir, slices
 
+FEW = 1 << 19  # blobs that are broadcast, and spans
+
 KINDS = ("assign", "access", "hex", "pem", "github", "slack", "stripe")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a shorter run fails from its inside, too
@@ -55,10 +59,14 @@ def _scan(rules):
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("start", pa.int64()), ("k", pa.int32()), ("end", pa.int64())]))
+        seen: set[str] = set()  # a row may be repeated
         for batch in batches:
             for b in slices(batch):
                 blobs, names, spans = [], [], []
                 for blob, todo, text in zip(*(b.column(c).to_pylist() for c in ("blob", "rules", "text"))):
+                    if blob in seen:
+                        continue
+                    seen.add(blob)
                     for r in todo:
                         blobs.append(blob)
                         names.append(r)
@@ -68,6 +76,19 @@ def _scan(rules):
     return run
 
 
+def _once(batches):
+    """Each blob of a partition once, so that no row repeated without bound is shuffled."""
+    import pyarrow as pa
+
+    seen: set[str] = set()
+    for b in batches:
+        new = []
+        for blob in b.column(b.schema.get_field_index("own")).to_pylist():
+            new.append(blob not in seen)
+            seen.add(blob)
+        yield b.filter(pa.array(new, pa.bool_()))
+
+
 def _ledger(spark, path: str) -> DataFrame:
     try:
         return spark.read.schema(_LEDGER).parquet(path)
@@ -86,9 +107,15 @@ def update_ledger(docs: DataFrame, ledger: str, rules, id_col: str, text_col: st
     paths = durable(d.select("doc_id", _blob(F.col("text")).alias("blob")))
     one = paths.groupBy("blob").agg(F.min("doc_id").alias("rep"))
     pairs = one.select("blob", "rep", F.explode(F.array(*map(F.lit, rules))).alias("rule"))
-    unseen = pairs.join(_ledger(spark, ledger), ["blob", "rule"], "left_anti").groupBy("blob", "rep").agg(F.collect_list("rule").alias("rules"))
+    unseen = durable(pairs.join(_ledger(spark, ledger), ["blob", "rule"], "left_anti").groupBy("blob", "rep").agg(F.collect_list("rule").alias("rules")))
     held = d.withColumn("own", _blob(F.col("text")))
-    due = held.join(unseen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("own") == F.col("blob")))
+    new = unseen.count()
+    if new <= FEW:
+        unseen = F.broadcast(unseen)
+    else:
+        held = held.mapInArrow(_once, held.schema)
+    same = F.col("own") == F.col("blob")
+    due = held.join(unseen, same & F.col("doc_id").eqNullSafe(F.col("rep")) if new <= FEW else same)
     found = due.select("blob", "rules", "text").mapInArrow(_scan(rules), _LEDGER)
     found.dropDuplicates(["blob", "rule"]).write.mode("append").parquet(ledger)
     seen = _ledger(spark, ledger).where(F.col("rule").isin(list(rules)) & (F.size("spans") > 0))
@@ -115,18 +142,19 @@ def mask_secrets(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col:
     """`docs` with each run of overlapping secrets replaced by [SECRET]; all rows and
     columns kept, n_chars (if there) counted anew; other texts, null too, stay as they are."""
     _, by_blob = update_ledger(docs, ledger, RULES, id_col, text_col)
-    held = docs.withColumn("__secret_own", _blob(F.col(text_col).cast("string")))
-    hit = held.join(by_blob.select(F.col("blob").alias("__secret_blob"), F.col("spans").alias("__secret_spans")), F.col("__secret_own") == F.col("__secret_blob"), "left")
-    cut = _masked(F.col(text_col).cast("string"), F.col("__secret_spans"))
-    hit = hit.withColumn("__secret_cut", cut)
+    by_blob = durable(by_blob)
+    if (by_blob.agg(F.sum(F.size("spans"))).first()[0] or 0) <= FEW:  # else the texts are shuffled
+        by_blob = F.broadcast(by_blob)
+    names = docs.columns
+    text = F.col(f"c{names.index(text_col)}").cast("string")
+    held = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("own", _blob(text))  # no name clashes then
+    hit = held.join(by_blob, held.own == by_blob.blob, "left").withColumn("cut", _masked(text, F.col("spans")))
     cols = []
-    for c in docs.columns:
-        if c == text_col:
-            cols.append(F.col("__secret_cut").alias(c))
-        elif c == "n_chars":
-            cols.append(F.when(F.col("__secret_spans").isNotNull(), F.char_length("__secret_cut")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
-        else:
-            cols.append(F.col(c))
+    for i, c in enumerate(names):
+        old = F.col("cut" if c == text_col else f"c{i}")
+        if c == "n_chars":
+            old = F.when(F.col("spans").isNotNull(), F.char_length("cut")).otherwise(old).cast(docs.schema[i].dataType)
+        cols.append(old.alias(c))
     return hit.select(*cols)
 
 

@@ -54,15 +54,15 @@ def test_against_brute_force(spark, tmp_path):
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n_words", "'q' as items")
     b = spark.createDataFrame(bench, "item_id long, text string")
     want = brute(docs, bench)
-    for block in (1 << 20, 300):  # one block of windows, and several
-        old, m.BLOCK_BYTES = m.BLOCK_BYTES, block
+    for block in (1 << 20, 25):  # one block of windows, and several with cut items
+        old, m.BLOCK = m.BLOCK, block
         try:
             f = m.find_contamination(d, b)
             got = sorted(tuple(r) for r in f.mapInArrow(m._digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").collect())
             assert got == want
             cut = {r.doc_id: r.text for r in m.decontaminate(d, b).collect()}
         finally:
-            m.BLOCK_BYTES = old
+            m.BLOCK = old
         for i, t in docs:
             hit = next(x for x in want if x[0] == i)
             assert cut[i] == t if not hit[5] else len(W.findall(low(cut[i]))) == hit[1] - hit[2]
@@ -100,8 +100,33 @@ def test_shards_at_random():
         v = ["a", "b", "c", "d", "é"][: rng.randint(1, 5)]
         bench = [(i, " ".join(rng.choice(v) for _ in range(rng.randint(0, 14)))) for i in range(rng.randint(0, 4))]
         docs = [(i, rng.choice([None, "", "zz yy"]) if rng.random() < 0.2 else " ".join(rng.choice([*v, "zz"]) for _ in range(rng.randint(0, 40)))) for i in range(rng.randint(0, 6))]
-        q = m.compile_windows(bench)
+        q = m.compile_windows([(i, m.words_of(t)) for i, t in bench if m.words_of(t)])
         if q is None:
             continue
         got = [(i, n, sum(e - s for s, e in spans), len(its)) for (i, _), (n, spans, its) in zip(docs, m.search_shard([t for _, t in docs], q))]
         assert sorted(got) == [x[:4] for x in brute(docs, bench)]
+
+
+def test_blocks_cut_items_without_losing_windows():
+    rng = random.Random(2)
+    for _ in range(200):
+        bench = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))) for i in range(rng.randint(0, 5))]
+        most = rng.randint(1, 12)
+        got, want = set(), set()
+        for part in m.blocks(bench, 4, most):
+            w = [(i, tuple(x[k : k + 4])) for i, x in part for k in range(max(1, len(x) - 3))]
+            assert 0 < len(w) <= most
+            got.update(w)
+        for i, t in bench:
+            x = m.words_of(t)
+            want.update((i, tuple(x[k : k + 4])) for k in range(max(1, len(x) - 3) if x else 0))
+        assert got == want
+
+
+def test_columns_with_inner_names(spark):
+    extra = ["'u' as __text", "7 as __n_words", "array(0) as __starts", "array(1) as __ends", "array('z') as __items"]
+    d = spark.createDataFrame([(1, "a b c", 5), (2, "x y", 3)], "doc_id long, text string, n_chars int").selectExpr("*", *extra)
+    b = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    got = sorted(m.decontaminate(d, b).collect())
+    assert [(r.doc_id, r.text, r.n_chars) for r in got] == [(1, "c", 1), (2, "x y", 3)]
+    assert all((r["__text"], r["__n_words"], r["__starts"], r["__ends"], r["__items"]) == ("u", 7, [0], [1], ["z"]) for r in got)

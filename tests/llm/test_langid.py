@@ -101,7 +101,10 @@ def test_stage_keeps_an_unlabelled_corpus(spark):
 def test_stage_fills_the_language_and_rejects_the_unknown(spark):
     seen = [(i, "the words of the other side are here and there", "en") for i in range(20)]
     docs = spark.createDataFrame([*seen, (30, "here the other words are", None), (31, "каждый охотник желает знать", "en"), (32, "qzx xqz zxq vvkq", None)], "doc_id long, text string, lang string")
-    got = {r.doc_id: r.lang for r in m.keep_known(docs, m.BitSlicedFilter(*m.train(docs.where("doc_id < 20")))).collect()}
+    langs, grams, learned = m._train(docs.where("doc_id < 20"))
+    assert learned == 20 * len(brute_grams(seen[0][1]))
+    assert m.keep_known(docs, m.BitSlicedFilter(langs, grams, learned)).count() == 23  # too little was seen to reject
+    got = {r.doc_id: r.lang for r in m.keep_known(docs, m.BitSlicedFilter(langs, grams, m.ENOUGH)).collect()}
     assert got == {**{i: "en" for i in range(20)}, 30: "en"}
 
 

@@ -53,6 +53,41 @@ def test_base_and_ledger(spark, tmp_path):
     assert seen.value == 1 + len(blobs) + 1
 
 
+def test_second_run_scans_nothing_and_shuffles_no_text(spark, tmp_path):
+    data = rows()
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    led = str(tmp_path / "ledger")
+    first = m.find_secrets(df, led)
+    want = sorted(map(str, first.collect()))
+
+    def never(text):
+        raise AssertionError("scanned again")
+
+    again = m.find_secrets(df, led, {"base:1": never, "provider:1": never})
+    assert sorted(map(str, again.collect())) == want
+    from pyspark.sql import functions as F
+
+    d = m.fold(df, "doc_id", "text").withColumn("own", m._blob(F.col("text")))
+    assert "Exchange hash" not in d.join(F.broadcast(spark.createDataFrame([("x",)], "own string")), "own")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_unseen_blobs(spark, tmp_path, monkeypatch):
+    """Past the bound of the broadcasts, texts are shuffled and the findings are the same."""
+    data = rows()
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    want = sorted(map(str, m.find_secrets(df, str(tmp_path / "a")).collect()))
+    cut = sorted(map(str, m.mask_secrets(df, str(tmp_path / "a")).collect()))
+    monkeypatch.setattr(m, "FEW", 3)
+    assert sorted(map(str, m.find_secrets(df, str(tmp_path / "b")).collect())) == want
+    assert sorted(map(str, m.mask_secrets(df, str(tmp_path / "c")).collect())) == cut
+
+
+def test_columns_with_inner_names(spark, tmp_path):
+    df = spark.createDataFrame([(1, "token=abcdefghijklmnop", "p", "q", "r", "s")], "doc_id long, text string, own string, blob string, cut string, __secret_own string")
+    got = m.mask_secrets(df, str(tmp_path / "l")).first()
+    assert tuple(got) == (1, "[SECRET]", "p", "q", "r", "s")
+
+
 def test_mask(spark, tmp_path):
     df = spark.createDataFrame([(1, "é token=abcdefghijklmnop end", 5), (1, "clean", 9), (2, None, None), (3, "x 0123456789abcdef0 y", 1)], "doc_id long, text string, n_chars long")
     got = {(r.doc_id, r.text, r.n_chars) for r in m.mask_secrets(df, str(tmp_path / "l")).collect()}
