@@ -5,8 +5,8 @@ which its versions appear. The ledger is a Parquet table (blob, rule, spans)
 in a folder that outlives a run. A scan lists the (blob, rule version) pairs
 that the ledger lacks, reads one text for each unseen blob, appends what it
 finds (blobs without findings too) and joins the ledger back to all paths. Up
-to FEW unseen blobs are sought by a broadcast of their names, so that no text
-moves; of more, the texts are shuffled to the names.
+to FEW unseen blobs are sought by a broadcast of 64-bit hashes (a false match costs
+a scan, no more), so that no text moves; of more, the texts are shuffled to the names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql.utils import AnalysisException
 
 from .common import durable, fold, read, shared_dir, slices
 
-FEW = 1 << 19  # blobs that are broadcast, and spans
+FEW, SPANS = 1 << 21, 1 << 19  # unseen blobs, and spans of findings, that are broadcast
 
 KINDS = ("assign", "access", "hex", "pem", "github", "slack", "stripe")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -63,11 +63,11 @@ def _scan(rules):
         for batch in batches:
             for b in slices(batch):
                 blobs, names, spans = [], [], []
-                for blob, todo, text in zip(*(b.column(c).to_pylist() for c in ("blob", "rules", "text"))):
+                for blob, todo, text in zip(*(b.column(c).to_pylist() for c in ("own", "todo", "text"))):
                     if blob in seen:
                         continue
                     seen.add(blob)
-                    for r in todo:
+                    for r in (r for i, r in enumerate(rules) if todo >> i & 1):
                         blobs.append(blob)
                         names.append(r)
                         spans.append([{"start": s, "k": k, "end": e} for s, k, e in sorted(rules[r](text))])
@@ -106,17 +106,15 @@ def update_ledger(docs: DataFrame, ledger: str, rules, id_col: str, text_col: st
     d = fold(docs, id_col, text_col)
     paths = durable(d.select("doc_id", _blob(F.col("text")).alias("blob")))
     one = paths.groupBy("blob").agg(F.min("doc_id").alias("rep"))
-    pairs = one.select("blob", "rep", F.explode(F.array(*map(F.lit, rules))).alias("rule"))
-    unseen = durable(pairs.join(_ledger(spark, ledger), ["blob", "rule"], "left_anti").groupBy("blob", "rep").agg(F.collect_list("rule").alias("rules")))
+    pairs = one.select("blob", "rep", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(1 << i).alias("bit")) for i, r in enumerate(rules)))).alias("x")).select("blob", "rep", "x.*")
+    unseen = durable(pairs.join(_ledger(spark, ledger), ["blob", "rule"], "left_anti").groupBy("blob", "rep").agg(F.bit_or("bit").alias("todo")))
     held = d.withColumn("own", _blob(F.col("text")))
-    new = unseen.count()
-    if new <= FEW:
-        unseen = F.broadcast(unseen)
+    if unseen.count() <= FEW:
+        names = unseen.groupBy(F.xxhash64("rep", "blob").alias("name")).agg(F.bit_or("todo").alias("todo"))
+        due = held.join(F.broadcast(names), F.xxhash64("doc_id", "own") == F.col("name"))
     else:
-        held = held.mapInArrow(_once, held.schema)
-    same = F.col("own") == F.col("blob")
-    due = held.join(unseen, same & F.col("doc_id").eqNullSafe(F.col("rep")) if new <= FEW else same)
-    found = due.select("blob", "rules", "text").mapInArrow(_scan(rules), _LEDGER)
+        due = held.mapInArrow(_once, held.schema).join(unseen.select(F.col("blob").alias("own"), "todo"), "own")
+    found = due.select("own", "todo", "text").mapInArrow(_scan(rules), _LEDGER)
     found.dropDuplicates(["blob", "rule"]).write.mode("append").parquet(ledger)
     seen = _ledger(spark, ledger).where(F.col("rule").isin(list(rules)) & (F.size("spans") > 0))
     by_blob = seen.dropDuplicates(["blob", "rule"]).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
@@ -143,7 +141,7 @@ def mask_secrets(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col:
     columns kept, n_chars (if there) counted anew; other texts, null too, stay as they are."""
     _, by_blob = update_ledger(docs, ledger, RULES, id_col, text_col)
     by_blob = durable(by_blob)
-    if (by_blob.agg(F.sum(F.size("spans"))).first()[0] or 0) <= FEW:  # else the texts are shuffled
+    if (by_blob.agg(F.sum(F.size("spans"))).first()[0] or 0) <= SPANS:  # else the texts are shuffled
         by_blob = F.broadcast(by_blob)
     names = docs.columns
     text = F.col(f"c{names.index(text_col)}").cast("string")
