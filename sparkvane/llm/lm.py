@@ -1,13 +1,19 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Unigram and bigram counts of all training tokens are merged by hash bucket.
-Each bucket becomes a filter segment: an n-gram of count c is entered under
-the levels 1 .. q(c), q(c) = 1 + floor(log_BASE c), and its quantised count is
-read back by probing level after level until one is missing. Segments are
-sized by their entries, together at most MAX_BYTES (beyond that, fewer bits
-per entry and a higher false-positive rate, never dropped n-grams), and
-broadcast. P(w | h) = (c'(hw) + MU P1(w)) / (c'(h) + MU), with smoothed unigram
-P1; counts are read at the lower end of their level.
+Unigram and bigram counts of all training tokens are merged by hash bucket, of
+which there are so many that one holds about PER_BUCKET tokens at any size of
+the corpus. Each bucket becomes a filter segment of BITS_PER_ENTRY bits an
+entry: an n-gram of count c is entered under the levels 1 .. q(c), q(c) = 1 +
+floor(log_BASE c), and its quantised count is read back by probing level after
+level until one is missing. P(w | h) = (c'(hw) + MU P1(w)) / (c'(h) + MU), with
+smoothed unigram P1; counts are read at the lower end of their level.
+
+Segments are broadcast to the workers. If those of an order take more than
+PASS_BYTES, they go in passes of at most as many bytes: the logarithm of a
+token's numerator is added in the pass that holds its word's and its bigram's
+segment, that of its denominator in one that holds its history's. So neither
+the error rate of the filter nor the memory of a worker depends on the size of
+the corpus; what grows is the number of passes.
 
 The exact unigram score beside it does not fit a broadcast, as the vocabulary
 grows with the corpus: counts of at most HEAD frequent tokens are broadcast,
@@ -26,8 +32,9 @@ from .common import durable, is_fold, read, slices
 BASE = 1.5
 HASHES = 4
 BITS_PER_ENTRY = 8
-MAX_BYTES = 128 << 20
+PASS_BYTES = 128 << 20
 BUCKETS = 32
+PER_BUCKET = 1 << 20
 HEAD = 1 << 20
 MU = 100.0
 FLUSH = 4_000_000
@@ -143,12 +150,12 @@ def _places(keys, level: int, size: int):
         yield ((low + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * np.uint64(size) >> np.uint64(32)
 
 
-def segment(keys, counts, max_bits: int):
-    """Filter segment (bytes) of one bucket."""
+def segment(keys, counts, max_bits: int = 1 << 32, bits_per_entry: int = BITS_PER_ENTRY):
+    """Filter segment (bytes) of one bucket; positions have 32 bits."""
     import numpy as np
 
     q = levels(counts)
-    size = int(min(max_bits, max(64, int(q.sum()) * BITS_PER_ENTRY))) // 8 * 8
+    size = int(min(max_bits, max(64, int(q.sum()) * bits_per_entry))) // 8 * 8
     bits = np.zeros(size, bool)
     for j in range(1, int(q.max(initial=0)) + 1):
         for at in _places(keys[q >= j], j, size):
@@ -156,7 +163,7 @@ def segment(keys, counts, max_bits: int):
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _reduce(max_bits: int, buckets: int):
+def _reduce(bits_per_entry: int):
     def run(key, table):
         import numpy as np
         import pyarrow as pa
@@ -164,12 +171,14 @@ def _reduce(max_bits: int, buckets: int):
         order, bucket = key[0].as_py(), key[1].as_py()
         parts = [(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist())]
         keys, counts = _merge(parts)
+        bits = segment(keys, counts, bits_per_entry=bits_per_entry)
         full = order == 1
         return pa.table(
             {
                 "order": pa.array([order], pa.int32()),
                 "bucket": pa.array([bucket], pa.int32()),
-                "bits": pa.array([segment(keys, counts, max_bits // (2 * buckets))], pa.binary()),
+                "bits": pa.array([bits], pa.binary()),
+                "ones": pa.array([int(np.bitwise_count(np.frombuffer(bits, np.uint8)).sum())], pa.int64()),
                 "keys": pa.array([keys.tobytes() if full else None], pa.binary()),
                 "counts": pa.array([counts.tobytes() if full else None], pa.binary()),
                 "distinct": pa.array([len(keys)], pa.int64()),
@@ -191,6 +200,7 @@ class LogBloom:
     buckets: int
     total: int
     distinct: int
+    here: object = None  # per order: is the bucket part of this pass
 
     def read(self, order: int, keys):
         """Quantised counts of the keys, by repeated membership probes."""
@@ -212,40 +222,72 @@ class LogBloom:
             level += 1
         return level_count(q)
 
-    def log_probability(self, h, before, mu: float):
-        """log10 P per token."""
+    def log_terms(self, h, before, mu: float, first: bool = True):
+        """What this pass adds to log10 P of each token; `first`: of the passes with its unigrams."""
         import numpy as np
 
         uni, back = np.unique(np.concatenate((h, before)), return_inverse=True)
-        c1 = self.read(1, uni)
-        cw, ch = c1[back[: len(h)]], c1[back[len(h) :]]
+        c1, here = self.read(1, uni), self.held(1, uni)
+        cw, ch, has_w, has_h = c1[back[: len(h)]], c1[back[len(h) :]], here[back[: len(h)]], here[back[len(h) :]]
         two, back2 = np.unique(bigram_keys(before, h), return_inverse=True)
-        c2 = np.minimum(self.read(2, two)[back2], np.minimum(cw, ch))
-        p1 = (cw + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-        return np.log10((c2 + mu * p1) / (ch + mu))
+        c2, has_2 = np.minimum(self.read(2, two)[back2], cw), self.held(2, two)[back2]
+        p1 = np.minimum(1, (cw + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
+        over = np.where(has_w & has_2, np.log10(c2 + mu * p1), 0.0)
+        return over - np.where(has_h, np.log10(ch + mu), 0.0) if first else over
+
+    def held(self, order: int, keys):
+        """Is a key's segment part of this pass?"""
+        import numpy as np
+
+        if self.here is None:
+            return np.ones(len(keys), bool)
+        return self.here[order - 1][(keys >> np.uint64(65 - int(self.buckets).bit_length())).astype(np.int64)]
 
 
-def count_ngrams(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS, max_bytes: int = MAX_BYTES) -> DataFrame:
+def count_ngrams(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
     """One row per (order, bucket): filter segment; for unigrams the exact counts, too."""
     d = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     packed = d.mapInArrow(_count(buckets), _PACKED)
-    schema = "order int, bucket int, bits binary, keys binary, counts binary, distinct long, total long, by_level array<long>"
-    return durable(packed.groupBy("order", "bucket").applyInArrow(_reduce(max_bytes * 8, buckets), schema))
-
-
-def load(counted: DataFrame, buckets: int = BUCKETS) -> LogBloom:
-    """The filter, fetched by the driver segment after segment (at most MAX_BYTES in all)."""
+    schema = "order int, bucket int, bits binary, ones long, keys binary, counts binary, distinct long, total long, by_level array<long>"
+    return durable(packed.groupBy("order", "bucket").applyInArrow(_reduce(bits_per_entry), schema))
+
+
+def passes(counted: DataFrame, pass_bytes: int = PASS_BYTES) -> list[tuple[tuple[int, int], tuple[int, int], bool]]:
+    """[(unigram buckets, bigram buckets, first with these unigrams)], ranges from, to; the
+    segments of each take at most `pass_bytes` (a single one may take more)."""
+    cuts: dict[int, list[int]] = {1: [0], 2: [0]}
+    held = {1: 0, 2: 0}
+    for r in counted.select("order", "bucket", F.octet_length("bits").alias("n")).orderBy("order", "bucket").toLocalIterator():
+        if held[r.order] and held[r.order] + r.n > pass_bytes:
+            cuts[r.order].append(r.bucket)
+            held[r.order] = 0
+        held[r.order] += r.n
+    runs = [list(zip(c, [*c[1:], 1 << 31])) for c in cuts.values()]
+    return [(u, b, k == 0) for u in runs[0] for k, b in enumerate(runs[1])]
+
+
+def load(counted: DataFrame, buckets: int = BUCKETS, uni: tuple[int, int] = (0, 1 << 31), two: tuple[int, int] = (0, 1 << 31)) -> LogBloom:
+    """The filter of these buckets, fetched by the driver segment after segment."""
     import numpy as np
 
     parts: list[bytes] = []
     offset, size = np.zeros((2, buckets), np.int64), np.zeros((2, buckets), np.int64)
     at = 0
-    for r in counted.select("order", "bucket", "bits").toLocalIterator():
+    mine = lambda o, r: (F.col("order") == o) & (F.col("bucket") >= r[0]) & (F.col("bucket") < r[1])
+    for r in counted.where(mine(1, uni) | mine(2, two)).select("order", "bucket", "bits").toLocalIterator():
         offset[r.order - 1, r.bucket], size[r.order - 1, r.bucket] = at, 8 * len(r.bits)
         parts.append(bytes(r.bits))
         at += len(r.bits)
     s = counted.where("order = 1").agg(F.sum("total"), F.sum("distinct")).first()
-    return LogBloom(np.frombuffer(b"".join(parts), np.uint8), offset, size, buckets, s[0] or 0, s[1] or 0)
+    number = np.arange(buckets)
+    here = np.array([(number >= a) & (number < b) for a, b in (uni, two)])
+    return LogBloom(np.frombuffer(b"".join(parts), np.uint8), offset, size, buckets, s[0] or 0, s[1] or 0, here)
+
+
+def false_rate(counted: DataFrame) -> float:
+    """Chance that a probe for what was not entered says yes: from the bits set, weighed by entries."""
+    rate = F.pow(F.col("ones") / (8 * F.octet_length("bits")), HASHES)
+    return counted.agg(F.sum(rate * F.col("distinct")) / F.sum("distinct")).first()[0] or 0.0
 
 
 def _unpack(least: int, most: int):
@@ -264,49 +306,78 @@ def _unpack(least: int, most: int):
     return run
 
 
-def _score(model, head, mu: float):
+def _partial(model, first: bool, mu: float):
+    """(text, score) -> what a pass adds, once per text of a partition."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        m = model.value
+        seen: set[bytes] = set()
+        for batch in batches:
+            for b in slices(batch, 4 << 20):
+                names = b.column("name").to_pylist()
+                new = [i for i, x in enumerate(names) if x not in seen and not seen.add(x)]
+                if not new:
+                    continue
+                h, before, n = hashed(b.column("text").take(pa.array(new)).to_pylist())
+                part = np.add.reduceat(m.log_terms(h, before, mu, first), np.cumsum(n) - n)
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in new], pa.binary()), pa.array(part)], ["name", "score"])
+
+    return run
+
+
+def _base(head, model=None, mu: float = 0.0):
+    """Tokens, known ones and their logarithms by the head; the other tokens; with a model, the score."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        m, (keys, logs) = model.value, head.value
+        keys, logs = head.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for b in slices(batch, 4 << 20):
                 h, before, n = hashed(b.column("text").to_pylist())
                 ends = np.cumsum(n)
                 begin = ends - n
-                score = np.add.reduceat(m.log_probability(h, before, mu), begin)
                 at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                 known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
                 base = np.add.reduceat(np.where(known, logs[at], 0.0) if len(keys) else np.zeros(len(h)), begin)
                 rest = np.concatenate(([0], np.cumsum(~known)))
                 tail = pa.ListArray.from_arrays(pa.array(np.concatenate((rest[begin], rest[-1:])).astype(np.int32)), pa.array(h[~known].view(np.int64)))
+                score = pa.nulls(len(n), pa.float64()) if model is None else pa.array(np.add.reduceat(model.value.log_terms(h, before, mu), begin))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("held_out"), pa.array(row + np.arange(len(n))), pa.array(n), pa.array(np.add.reduceat(known.astype(np.int64), begin)), pa.array(base), pa.array(score), tail],
-                    ["doc_id", "held_out", "row", "n_tokens", "n_known", "logs", "score", "tail"],
+                    [b.column("doc_id"), b.column("held_out"), b.column("name"), pa.array(row + np.arange(len(n))), pa.array(n), pa.array(np.add.reduceat(known.astype(np.int64), begin)), pa.array(base), score, tail],
+                    ["doc_id", "held_out", "name", "row", "n_tokens", "n_known", "logs", "score", "tail"],
                 )
                 row += len(n)
 
     return run
 
 
-def score_documents(docs: DataFrame, held_out, id_col="doc_id", text_col="text", mu: float = MU, head_size: int = HEAD, buckets: int = BUCKETS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per input row.
+def score_documents(
+    docs: DataFrame, held_out, id_col="doc_id", text_col="text", mu: float = MU, head_size: int = HEAD, buckets: int = BUCKETS, pass_bytes: int = PASS_BYTES, bits_per_entry: int = BITS_PER_ENTRY
+) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and
+    filter_false_rate (measured on the filter, the same in each row), per input row.
 
     held_out: boolean column; the other rows are learned from. A null or blank
     text is its end alone; repeated rows count (and are scored) each; without
-    training rows every token is unknown; an empty table gives an empty result."""
+    training rows every token is unknown; an empty table gives an empty result.
+    A score is at most 0. Runs its jobs but the last while it is planned."""
     import numpy as np
 
     spark = docs.sparkSession
-    counted = count_ngrams(docs.where(~held_out), text_col, buckets, max_bytes)
-    model = load(counted, buckets)
+    sc = spark.sparkContext
+    counted = count_ngrams(docs.where(~held_out), text_col, buckets, bits_per_entry)
     uni = counted.where("order = 1").select("keys", "counts")
     by_level = np.zeros(129, np.int64)
-    for r in counted.where("order = 1").select("by_level").toLocalIterator():
-        by_level[:128] += np.array(r.by_level, np.int64)
+    more_of = counted.where("order = 1").select(F.posexplode("by_level").alias("q", "n")).groupBy("q").agg(F.sum("n").alias("n"))
+    for r in more_of.collect():  # 128 rows
+        by_level[r.q] = r.n
     more = np.cumsum(by_level[::-1])[::-1]  # tokens of level q and above
     q = int(np.argmax(more <= head_size))
     least = int(level_count(q)) if q else 1
@@ -314,26 +385,46 @@ def score_documents(docs: DataFrame, held_out, id_col="doc_id", text_col="text",
     keys = np.array([k for k, _ in head], np.int64).view(np.uint64)
     logs = np.log10(np.array([n for _, n in head], np.float64) + 0.5)
     order = np.argsort(keys)
-    sc = spark.sparkContext
-    d = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    head = sc.broadcast((keys[order], logs[order]))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    todo = passes(counted, pass_bytes)
+    name = F.unhex(F.md5(text)) if len(todo) > 1 else F.lit(None).cast("binary")
+    d = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), name.alias("name"), text.alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    scored = durable(
-        d.mapInArrow(_score(sc.broadcast(model), sc.broadcast((keys[order], logs[order])), mu), f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, logs double, score double, tail array<long>")
-    )
+    schema = f"doc_id {kind}, held_out boolean, name binary, row long, n_tokens long, n_known long, logs double, score double, tail array<long>"
+    if len(todo) == 1:
+        model = load(counted, buckets)
+        scored = durable(d.mapInArrow(_base(head, sc.broadcast(model), mu), schema))
+    else:
+        parts = []
+        for a, b, first in todo:
+            model = load(counted, buckets, a, b)
+            bc = sc.broadcast(model)
+            parts.append(durable(d.select("name", "text").mapInArrow(_partial(bc, first, mu), "name binary, score double").dropDuplicates(["name"])))
+            bc.destroy()
+        sums = parts[0]
+        for p in parts[1:]:
+            sums = sums.unionAll(p)
+        sums = sums.groupBy("name").agg(F.sum("score").alias("total_score"))
+        scored = durable(d.mapInArrow(_base(head), schema).join(sums, "name").withColumn("score", F.col("total_score")).drop("total_score"))
     tail = uni.mapInArrow(_unpack(1, least), "hash long, n long")
     seen = scored.select("row", F.explode("tail").alias("hash")).join(tail, "hash", "left")
     per_row = seen.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_logs"))
     norm = F.lit(float(np.log10(model.total + 0.5 * (model.distinct + 1))))
     return scored.join(per_row, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("tail_logs", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"), "score",
+        (F.col("logs") + F.coalesce("tail_logs", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"), F.least(F.lit(0.0), "score").alias("score"),
+        F.lit(float(false_rate(counted))).alias("filter_false_rate"),
     )
 
 
-def buckets_for(spark) -> int:
-    """Four times the shuffle partitions, as these are set to the data, at least BUCKETS; a power of two."""
-    return max(BUCKETS, 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+def buckets_for(docs: DataFrame, text_col: str = "text") -> int:
+    """A power of two, at least BUCKETS, of which each holds PER_BUCKET tokens or fewer, at
+    the four bytes that a token takes at least on average; the sizes of all texts are summed."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(BUCKETS, 1 << max(0, int(size // (4 * PER_BUCKET))).bit_length())
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return score_documents(read(spark, sf_dir, "documents"), is_fold("doc_id", 5), buckets=buckets_for(spark))
+    docs = read(spark, sf_dir, "documents")
+    return score_documents(docs, is_fold("doc_id", 5), buckets=buckets_for(docs))

@@ -63,3 +63,51 @@ def test_a_familiar_text_scores_higher(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert m.score_documents(df, m.is_fold("doc_id", 5)).count() == 0
+
+
+def exact_score(data, held, bits=None):
+    """Scores by exact counts, quantised."""
+    def q(c):
+        return float(m.level_count(m.levels(np.array([c])))[0]) if c else 0.0
+
+    one, two = Counter(), Counter()
+    for i, x in data:
+        if not held(i):
+            w = toks(x)
+            one.update(w)
+            two.update(zip(["</end>", *w], w))
+    n, v = sum(one.values()), len(one)
+    out = []
+    for i, x in data:
+        w = toks(x)
+        s = 0.0
+        for h, t in zip(["</end>", *w], w):
+            cw = q(one[t])
+            s += math.log10(min(q(two[h, t]), cw) + m.MU * (cw + 0.5) / (n + 0.5 * (v + 1))) - math.log10(q(one[h]) + m.MU)
+        out.append((i is None, i or 0, round(min(0.0, s), 6)))
+    return sorted(out)
+
+
+def test_score_against_exact_counts_in_one_pass_and_in_many(spark):
+    data = rows()
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    want = exact_score(data, held)
+    for size in (m.PASS_BYTES, 3000, 1):  # one pass, some, one for each pair of segments
+        out = m.score_documents(df, m.is_fold("doc_id", 5), buckets=4, pass_bytes=size, bits_per_entry=256)
+        got = out.collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 6)) for r in got) == want
+        assert all(0 <= r.filter_false_rate < 1e-4 for r in got)
+    counted = m.count_ngrams(df, buckets=4)
+    assert len(m.passes(counted, 1)) == 16 and len(m.passes(counted)) == 1
+
+
+def test_bits_an_entry_do_not_depend_on_the_number():
+    rng = np.random.default_rng(3)
+    for n in (2000, 200000):
+        keys = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        seg = m.segment(keys, np.ones(len(keys), np.int64))
+        assert 7.5 < 8 * len(seg) / len(keys) < 8.5
+        one = m.LogBloom(np.frombuffer(seg, np.uint8), np.zeros((2, 1), np.int64), np.full((2, 1), 8 * len(seg)), 1, 1, 1)
+        other = rng.integers(0, 1 << 63, 50000).astype(np.uint64)
+        assert (one.read(1, other) > 0).mean() < 0.04
