@@ -3,9 +3,9 @@
 Texts are tokenised where they lie; pieces, with their rank among the pieces
 of equal length in their partition, are written once. What the driver sees is
 the histogram of piece lengths: at most `capacity` rows at any corpus size.
-Over it runs bin completion: the incumbent gives the largest piece left its
-filling of least waste, as often as the counts allow; where that needs more
-than the lower bound, branch and bound goes over the undominated fillings of
+Over it runs bin completion: the incumbent is the better of best-fit decreasing
+and of giving the largest piece left its filling of least waste, as often as
+the counts allow; where that needs more than the lower bound, branch and bound goes over the undominated fillings of
 the largest piece, pruned by the waste that the wanted number of sequences has
 to spare, within a fixed number of steps. The resulting runs (size, rank range -> sequences)
 place every piece by a binary search; no group is ever gathered in one task.
@@ -228,16 +228,55 @@ def _greedy(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     return out
 
 
+def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing over the counts: each piece into the fullest sequence that holds it."""
+    from bisect import bisect_left, insort
+
+    rooms: list[int] = []  # distinct free rooms, ascending
+    groups: dict[int, list[tuple[dict[int, int], int]]] = {}
+
+    def put(room: int, fill: dict[int, int], m: int) -> None:
+        if m:
+            if room not in groups:
+                insort(rooms, room)
+            groups.setdefault(room, []).append((fill, m))
+
+    for s in sorted(counts, reverse=True):
+        n = counts[s]
+        while n > 0:
+            at = bisect_left(rooms, s)
+            if at < len(rooms):
+                room = rooms[at]
+                fill, m = groups[room].pop()
+                if not groups[room]:
+                    del groups[room], rooms[at]
+            else:
+                room, fill, m = capacity, {}, n  # new sequences, as many as are needed
+            k = room // s  # a sequence that took a piece is the fullest that holds the next
+            full = min(m, n // k)
+            put(room - k * s, {**fill, s: fill.get(s, 0) + k}, full)
+            n -= full * k
+            rest = n if full < m and 0 < n < k else 0
+            if rest:
+                put(room - rest * s, {**fill, s: fill.get(s, 0) + rest}, 1)
+                n = 0
+            if fill:
+                put(room, fill, m - full - (rest > 0))
+    return [x for g in groups.values() for x in g]
+
+
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[dict[int, int], int]]:
     """[(filling {size: pieces}, sequences)] using up all counts.
 
-    The greedy packing is the incumbent. Where it needs more than the lower bound, branch
-    and bound looks for packings of the bound and up, in several orders of the sizes. It
-    takes `steps` steps in all; what is not found by then stays with the incumbent."""
+    The incumbent is the better of best-fit decreasing and of the packing that gives the
+    largest piece left its filling of least waste. Where it needs more than the lower
+    bound, branch and bound looks for packings of the bound and up, in several orders of
+    the sizes. It takes `steps` steps in all; what is not found by then stays with the
+    incumbent, so the result is never worse than best-fit decreasing."""
     import random
 
     counts = {s: n for s, n in sorted(counts.items(), reverse=True) if n > 0}
-    best = _greedy(counts, capacity)
+    best = min(best_fit(counts, capacity), _greedy(counts, capacity), key=lambda plan: sum(m for _, m in plan))
     have, low = sum(m for _, m in best), lower_bound(counts, capacity)
     down = list(counts)
     orders = [down]

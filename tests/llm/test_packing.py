@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from sparkvane.llm.packing import complete_bin, lower_bound, pack, pack_histogram
+from sparkvane.llm.packing import best_fit, complete_bin, lower_bound, pack, pack_histogram
 from sparkvane.llm.wordbpe import text_tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -108,3 +108,35 @@ def test_planted_bins():
             for s, k in b.items():
                 used[s] += k * m
         assert used == counts and lower_bound(counts) == n == sum(m for _, m in plan)
+
+
+def naive_best_fit(pieces, cap):
+    rooms = []
+    for s in sorted(pieces, reverse=True):
+        fits = [r for r in rooms if r >= s]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - s)
+        else:
+            rooms.append(cap - s)
+    return len(rooms)
+
+
+def test_never_above_best_fit_decreasing():
+    rng = random.Random(21)
+    cases = [[rng.randint(400, 3000) for _ in range(1500)] for _ in range(3)]
+    cases += [[max(1, min(4096, int(rng.lognormvariate(6, 1.2)))) for _ in range(1500)] for _ in range(3)]
+    cases += [[1366 + rng.randint(-20, 20) for _ in range(1500)], [rng.choice([2049, 1025, 1000, 700, 3]) for _ in range(1500)], [rng.randint(1, 60) for _ in range(300)]]
+    for pieces in cases:
+        counts = Counter(pieces)
+        fit = best_fit(counts, 4096)
+        used = Counter()
+        for b, m in fit:
+            assert sum(s * k for s, k in b.items()) <= 4096
+            for s, k in b.items():
+                used[s] += k * m
+        assert used == counts and sum(m for _, m in fit) == naive_best_fit(pieces, 4096)
+        n = sum(m for _, m in pack_histogram(counts))
+        assert lower_bound(counts) <= n <= naive_best_fit(pieces, 4096)
+        thirds = 1340 < min(pieces) < 1390  # no bound of volume can be met there
+        assert n <= (1.1 if thirds else 1.02) * lower_bound(counts)
