@@ -60,6 +60,8 @@ def slices(batch, max_bytes: int = 8 << 20, col: str = "text"):
     arr = batch.column(batch.schema.get_field_index(col))
     if pa.types.is_large_string(arr.type):
         arr = arr.cast(pa.string())
+    elif pa.types.is_large_binary(arr.type):
+        arr = arr.cast(pa.binary())
     off = np.frombuffer(arr.buffers()[1], dtype=np.int32, count=len(arr) + 1 + arr.offset)[arr.offset :] if len(arr) else np.zeros(1, np.int32)
     i, n = 0, len(arr)
     while i < n:

@@ -558,9 +558,26 @@ def to_rgb(y, cb, cr):
     return np.clip(np.stack((r, g, b), -1), 0, 255).astype(np.uint8)
 
 
-def rgb_tensors(files: list[bytes]) -> list:
-    """(height, width, 3) uint8 per file, chroma upsampled by repetition."""
-    frames, first, coef = decode_coefficients(files)
+def tensors(frames: list[Frame], first, coef) -> list:
+    """(height, width, 3) uint8 per file, chroma upsampled by repetition. Files of one
+    layout with halved chroma are transformed together, others one by one."""
+    layout = {(tuple(c[1:3] for c in f.comps), *(q.tobytes() for q in f.quant)) for f in frames}
+    if len(layout) == 1 and next(iter(layout))[0] == ((2, 2), (1, 1), (1, 1)):
+        per, quant = coef.reshape(-1, 6, 64), frames[0].quant
+        tiles = np.empty((len(per), 16, 16, 3), np.uint8)
+        for a in range(0, len(per), 2048):
+            part = per[a : a + 2048].astype(np.int64)
+            n = len(part)
+            y = samples(part[:, :4].reshape(-1, 64), quant[0]).reshape(n, 2, 2, 8, 8).transpose(0, 1, 3, 2, 4).reshape(n, 16, 16)
+            cb, cr = (np.repeat(np.repeat(samples(part[:, k], quant[k - 3]).reshape(n, 8, 8), 2, 1), 2, 2) for k in (4, 5))
+            tiles[a : a + n] = to_rgb(y, cb, cr)
+        out, at = [], 0
+        for f in frames:
+            n = f.mcux * f.mcuy
+            t = tiles[at : at + n].reshape(f.mcuy, f.mcux, 16, 16, 3).transpose(0, 2, 1, 3, 4).reshape(16 * f.mcuy, 16 * f.mcux, 3)
+            out.append(t[: f.height, : f.width])
+            at += n
+        return out
     out = []
     for i, f in enumerate(frames):
         mine = coef[first[i] : first[i + 1]].astype(np.int64).reshape(f.mcuy, f.mcux, f.at[-1], 64)
@@ -574,3 +591,7 @@ def rgb_tensors(files: list[bytes]) -> list:
             planes += [np.full_like(planes[0], 128)] * 2
         out.append(to_rgb(*planes))
     return out
+
+
+def rgb_tensors(files: list[bytes]) -> list:
+    return tensors(*decode_coefficients(files))

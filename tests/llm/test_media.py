@@ -179,3 +179,28 @@ def test_digest(spark, tmp_path):
         assert (r.rgb is None) == (r.doc_id >= 900)
         assert r.rgb is None or len(r.rgb) == r.height * r.width * 3
     assert m.media_digest(df.limit(0)).count() == 0
+
+
+def test_layouts_together_and_one_by_one():
+    """The joint transform of halved-chroma files is the general one."""
+    rng = np.random.default_rng(9)
+    mcus = [1, 7, 4100]
+    c = rng.integers(-128, 128, (sum(mcus), 6, 64)).astype(np.int16)
+    files = J.encode_blocks(c, mcus)
+    frames, first, coef = J.decode_coefficients(files)
+    for i, (f, t) in enumerate(zip(files, J.tensors(frames, first, coef))):
+        f0 = frames[i]
+        mine = coef[first[i] : first[i + 1]].astype(np.int64).reshape(f0.mcuy, f0.mcux, 6, 64)
+        y = J.samples(mine[:, :, :4].reshape(-1, 64), f0.quant[0]).reshape(f0.mcuy, f0.mcux, 2, 2, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(f0.mcuy * 16, -1)
+        cb, cr = (np.kron(J.samples(mine[:, :, k].reshape(-1, 64), f0.quant[k - 3]).reshape(f0.mcuy, f0.mcux, 8, 8).transpose(0, 2, 1, 3).reshape(f0.mcuy * 8, -1), np.ones((2, 2), int)) for k in (4, 5))
+        assert np.array_equal(t, J.to_rgb(y, cb, cr))
+        assert m.feature(t).startswith(f"{t.shape[1]}x{t.shape[0]}:")
+    assert [x is None for x in m.decode([files[0], b"no", files[1]])] == [False, True, False]
+
+
+def test_feature_is_of_the_stored_tensor(spark):
+    df = spark.createDataFrame([(1, "some text"), (2, "y" * 5000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in m.media_digest(df).collect()}
+    for r in m.decode_tensors(m.store_texts(df)).collect():
+        t = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)
+        assert got[r.doc_id].feature == f"{r.width}x{r.height}:" + ",".join(f"{x:.4f}" for x in (*t.mean((0, 1)), *t.std((0, 1))))
