@@ -3,15 +3,24 @@
 Four base patterns always count. High-recall generators propose further,
 overlapping spans (obfuscated addresses, numbers without a prefix or with odd
 separators). Each proposal has format and context features of few values; the
-counts per feature vector and weak label (does it cover a valid base span?)
-form a table of bounded size, on which boosted trees of depth two are fitted
-on the driver. Per kind, the least score whose held-out precision bound
-reaches PRECISION is the threshold. Trees and thresholds become one column
-expression, so scoring stays in the JVM.
+counts per feature vector and label form a table of bounded size, on which
+boosted trees of depth two are fitted on the driver. Trees and thresholds
+become one column expression, so scoring stays in the JVM.
+
+Labels don't come from the base patterns' view of a proposal: positives are
+valid base spans rewritten, in their own context, into forms that the base
+patterns don't know (`(at)` for `@`, `[.]` for `.`, no `+`, other separators).
+Negatives are proposals that meet no base span and are not valid for their
+kind, or stand where no word in front speaks of the kind; what is valid and so
+announced has no label. Per kind, the least score whose precision on held-out
+documents, over rewritten spans and valid negatives, reaches PRECISION (lower
+bound) is the threshold; only valid proposals are added.
 
 Match positions come from the gaps between matches: `split` and
 `regexp_extract_all` walk the same matches, and starts are prefix sums of
-lengths (in blocks of 64, so long texts stay near-linear).
+lengths (in blocks of 64). Spans of a kind are in order and apart, so overlaps
+are found by binary search: the work grows with the spans of a text times
+their logarithm.
 """
 
 from __future__ import annotations
@@ -73,6 +82,21 @@ def _features(kind: str, m: Column, left: Column, right: Column) -> list[Column]
     return [c.cast("int").alias(n) for c, n in zip(f, FEATURES)]
 
 
+#: rewritten forms of a base span
+REWRITE = {
+    "email": (lambda m: F.regexp_replace(m, "@", "(at)"), lambda m: F.regexp_replace(F.regexp_replace(m, "@", " @ "), r"\.(?=[A-Za-z]+$)", "(dot)"), lambda m: F.regexp_replace(m, "@", "[at]")),
+    "ip": (lambda m: F.regexp_replace(m, r"\.", "[.]"), lambda m: F.regexp_replace(m, r"\.", " . ")),
+    "card": tuple(lambda m, s=s: F.regexp_replace(F.regexp_replace(m, "[^0-9]", ""), r"([0-9]{4})(?=[0-9])", f"$1{s}") for s in "._/"),
+    "phone": (lambda m: F.substring(m, 2, 1 << 30), lambda m: F.concat(F.lit("00"), F.substring(m, 2, 1 << 30)), lambda m: F.regexp_replace(F.substring(m, 2, 1 << 30), "[^0-9]+", ".")),
+}
+
+
+def _valid_proposal(kind: str, m: Column) -> Column:
+    if kind == "email":
+        return m.rlike("[A-Za-z]{2}$")
+    return _valid(kind, F.regexp_replace(m, r"[^0-9.]", "") if kind == "ip" else m)
+
+
 def _valid(kind: str, m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     if kind == "ip":
@@ -116,7 +140,7 @@ def with_starts(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*(f"{x}_{n}" for x in ("step", "sums", "before") for n in names))
 
 
-def _scan(docs: DataFrame, patterns: dict[str, dict[str, str]], hint: str, context: str | None = None) -> DataFrame:
+def _scan(docs: DataFrame, patterns: dict[str, dict[str, str]], hint: str, context: tuple[str, ...] = ()) -> DataFrame:
     """Per row and pattern: the matches, and the steps whose prefix sums are their starts."""
     some = docs.withColumn("hit", F.col("text").rlike(hint))
     cols: list[Column] = []
@@ -125,7 +149,7 @@ def _scan(docs: DataFrame, patterns: dict[str, dict[str, str]], hint: str, conte
             gaps = F.when(F.col("hit"), F.split("text", p, -1))
             cols.append(F.when(F.col("hit"), F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias(f"m_{group}_{kind}"))
             cols.append(F.transform(gaps, lambda g: F.char_length(g)).alias(f"g_{group}_{kind}"))
-            if group == context:
+            if group in context:
                 cols.append(F.transform(gaps, lambda g: F.right(g, F.lit(24))).alias(f"l_{group}_{kind}"))
                 cols.append(F.transform(gaps, lambda g: F.substring(g, 1, 1)).alias(f"r_{group}_{kind}"))
     return durable(some.select("doc_id", *cols))
@@ -238,58 +262,136 @@ def _score(trees: list[tuple], c: Column) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(0.0))
 
 
+def _vector(i: int, kind: str, m: Column, x: Column) -> list[Column]:
+    return [F.lit(i).alias("k"), *_features(kind, m, x["l"], x["r"]), F.coalesce(_valid_proposal(kind, m), F.lit(False)).alias("ok")]
+
+
 def _proposal(i: int, kind: str):
     def made(x: Column) -> Column:
         end = x["s"] + F.char_length(x["m"])
-        return F.struct(x["s"].cast("long").alias("start"), F.lit(i).alias("k"), end.cast("long").alias("end"), *_features(kind, x["m"], x["l"], x["r"]))
+        return F.struct(x["s"].cast("long").alias("start"), end.cast("long").alias("end"), *_vector(i, kind, x["m"], x))
+
+    return made
+
+
+def _rewritten(i: int, kind: str):
+    """A base match as the proposal it would be in another form; null if it would be none."""
+
+    def made(x: Column) -> Column:
+        forms = F.array(*(f(x["m"]) for f in REWRITE[kind]))
+        m = F.element_at(forms, (F.crc32(x["m"].cast("binary")) % len(REWRITE[kind]) + 1).cast("int"))
+        return F.when(F.regexp_extract(m, PROPOSE[kind], 0) == m, F.struct(*_vector(i, kind, m, x)))
 
     return made
 
 
+_POWERS = [1 << k for k in range(27, -1, -1)]
+
+
+def _count_below(spans: Column, below) -> Column:
+    """Of spans in order, the number for which below(span) holds; it must hold for a prefix."""
+    return F.aggregate(F.array(*map(F.lit, _POWERS)), F.lit(0), lambda n, p: F.when(below(F.get(spans, n + p - 1)), n + p).otherwise(n))
+
+
+def _touches(spans: Column, x: Column) -> Column:
+    """Does one of `spans` (in order, apart) overlap x?"""
+    return F.coalesce(F.get(spans, _count_below(spans, lambda y: y["start"] < x["end"]) - 1)["end"] > x["start"], F.lit(False))
+
+
+def _overlapping(spans: Column, x: Column) -> Column:
+    """Those of `spans` (in order, apart) that overlap x."""
+    first = _count_below(spans, lambda y: y["end"] <= x["start"])
+    return F.slice(spans, first + 1, _count_below(spans, lambda y: y["start"] < x["end"]) - first)
+
+
 def of_kind(spans: str, i: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["k"] == i)).cast("long")
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base and spans: array<struct<start, k (position in KINDS), end>>.
+_TABLE = ["k", *FEATURES]
 
-    A null text counts as empty and has no spans; equal rows get equal spans
-    each; an empty table gives an empty result; other columns are ignored."""
-    rows = _scan(fold(docs, id_col, text_col), {"base": BASE, "try": PROPOSE}, HINT, "try")
+
+def _candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, base_<kind>, tries_<kind> (`any`: does it meet a base span), plants_<kind>."""
+    rows = _scan(fold(docs, id_col, text_col), {"base": BASE, "try": PROPOSE}, HINT, ("base", "try"))
     rows = with_starts(rows, [f"{g}_{k}" for g in ("base", "try") for k in KINDS])
-    base = F.concat(*(F.coalesce(_spans("base", k, i, _valid), F.array().cast("array<struct<start:bigint,k:int,end:bigint>>")) for i, k in enumerate(KINDS)))
-    tries = []
-    for i, k in enumerate(KINDS):
-        m, s, left, right = (F.col(f"{c}_try_{k}") for c in "mslr")
+    vector = ",".join(f"{n}:int" for n in _TABLE) + ",ok:boolean"
+
+    def zipped(group: str, k: str) -> Column:
+        m, s, left, right = (F.col(f"{c}_{group}_{k}") for c in "mslr")
         n = F.size(m)
         z = F.arrays_zip(m.alias("m"), F.slice(s, F.lit(1), n).alias("s"), F.slice(left, F.lit(1), n).alias("l"), F.slice(right, F.lit(2), n).alias("r"))
-        z = F.when(n > 0, z)
-        tries.append(
-            F.coalesce(
-                F.transform(z, _proposal(i, k)),
-                F.array().cast("array<struct<start:bigint,k:int,end:bigint," + ",".join(f"{n}:int" for n in FEATURES) + ">>"),
-            )
-        )
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    found = rows.select("doc_id", base.alias("base"), F.concat(*tries).alias("tries"))
-    label = lambda c: F.struct(c.alias("c"), F.exists("base", lambda b: meets(b, c) & (b["k"] == c["k"])).alias("own"), F.exists("base", lambda b: meets(b, c)).alias("any"))
-    found = durable(found.select("doc_id", "base", F.transform("tries", label).alias("tries")))
-    flat = found.select((id_crc("doc_id") % 2 == 0).alias("held"), F.explode("tries").alias("t"))
-    keys = [F.col(f"t.c.{n}").alias(n) for n in ("k", *FEATURES)]
-    table = flat.groupBy(*keys, F.coalesce("held", F.lit(False)).alias("held")).agg(F.sum(F.col("t.own").cast("int")).alias("p"), F.count(F.lit(1)).alias("n"))
-    got = [(tuple(r[:9]), bool(r.held), r.p, r.n - r.p) for r in table.collect()]  # vectors have few values: under 50,000 rows at any size
-    trees, limits = fit(got)
+        return F.when(n > 0, z)
+
+    cols = []
+    for i, k in enumerate(KINDS):
+        base, tries = zipped("base", k), zipped("try", k)
+        none = lambda kind: F.array().cast(f"array<struct<{kind}>>")
+        cols.append(F.coalesce(_spans("base", k, i, _valid), none("start:bigint,k:int,end:bigint")).alias(f"base_{k}"))
+        cols.append(F.coalesce(F.transform(tries, _proposal(i, k)), none("start:bigint,end:bigint," + vector)).alias(f"tries_{k}"))
+        plants = F.filter(F.transform(F.filter(base, lambda x: _valid(k, x["m"])), _rewritten(i, k)), lambda x: x.isNotNull())
+        cols.append(F.coalesce(plants, none(vector)).alias(f"plants_{k}"))
+    found = durable(rows.select("doc_id", *cols))
+    meets = lambda x: reduce(lambda a, b: a | b, (_touches(F.col(f"base_{k}"), x) for k in KINDS))
+    flagged = [F.transform(f"tries_{k}", lambda x: F.struct(x.alias("c"), meets(x).alias("any"))).alias(f"tries_{k}") for k in KINDS]
+    return durable(found.select("doc_id", *(f"base_{k}" for k in KINDS), *flagged, *(f"plants_{k}" for k in KINDS)))
+
+
+def _table(found: DataFrame) -> list[tuple]:
+    """(vector, held out, positives, negatives); held-out negatives are valid ones only."""
+    held = F.coalesce(id_crc("doc_id") % 2 == 0, F.lit(False)).alias("held")
+    planted = found.select(held, F.explode(F.concat(*(F.col(f"plants_{k}") for k in KINDS))).alias("c")).where("c.ok")
+    free = found.select(held, F.explode(F.concat(*(F.col(f"tries_{k}") for k in KINDS))).alias("t")).where("not t.any").select("held", "t.c")
+    not_so = free.where("(not c.ok and not held) or (c.ok and c.word = 0)")
+    both = planted.withColumn("y", F.lit(1)).select("held", "y", "c").unionByName(not_so.withColumn("y", F.lit(0)).select("held", "y", F.struct(*(F.col(f"c.{n}").alias(n) for n in (*_TABLE, "ok"))).alias("c")))
+    by = both.groupBy(*(F.col(f"c.{n}").alias(n) for n in _TABLE), "held").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
+    return [(tuple(r[:9]), bool(r.held), r.p, r.n - r.p) for r in by.collect()]  # vectors have few values: under 200,000 rows at any size
+
+
+def calibration(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
+    """Per kind, of the held-out documents: rewritten spans (planted), those of them that
+    would be added (found), valid negatives (decoys), those of them that would be added (false)."""
+    table = _table(_candidates(docs, id_col, text_col))
+    trees, limits = fit(table)
+    out = [{"kind": k, "planted": 0, "found": 0, "decoys": 0, "false": 0} for k in KINDS]
+    for x, held, pos, neg in table:
+        if held:
+            row = out[x[0]]
+            added = x[0] in limits and sum(_one(t, x) for t in trees) >= limits[x[0]] - 1e-9
+            row["planted"] += pos
+            row["decoys"] += neg
+            row["found"] += pos * added
+            row["false"] += neg * added
+    return out
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, base and spans: array<struct<start, k (position in KINDS), end>>.
+
+    A null text counts as empty and has no spans; equal rows get equal spans
+    each; an empty table gives an empty result; other columns are ignored. Of
+    overlapping additions that of the best score stays (then the first, then the
+    later kind). Runs all jobs but the last while it is planned."""
+    found = _candidates(docs, id_col, text_col)
+    trees, limits = fit(_table(found))
+    base = F.concat(*(F.col(f"base_{k}") for k in KINDS))
     if not limits:
-        return found.select("doc_id", "base", F.col("base").alias("spans"))
-    limit = F.create_map(*(x for k, s in limits.items() for x in (F.lit(k), F.lit(float(s)))))
-    kept = F.transform(
-        F.filter("tries", lambda t: ~t["any"]),
-        lambda t: F.struct(_score(trees, t["c"]).alias("score"), (-t["c"]["start"]).alias("at"), t["c"].alias("c")),
-    )
-    scored = found.select("doc_id", "base", F.filter(kept, lambda x: x["score"] >= F.element_at(limit, x["c"]["k"])).alias("kept"))
-    best = F.filter("kept", lambda x: ~F.exists("kept", lambda y: meets(x["c"], y["c"]) & (F.struct(y["score"], y["at"], y["c"]["k"]) > F.struct(x["score"], x["at"], x["c"]["k"]))))
-    extra = F.transform(best, lambda x: F.struct(x["c"]["start"].alias("start"), x["c"]["k"].alias("k"), x["c"]["end"].alias("end")))
-    return scored.select("doc_id", "base", F.concat("base", extra).alias("spans"))
+        return found.select("doc_id", base.alias("base"), base.alias("spans"))
+
+    def chosen(i: int, k: str) -> Column:
+        ok = F.filter(f"tries_{k}", lambda t: ~t["any"] & t["c"]["ok"])
+        scored = F.transform(ok, lambda t: F.struct(_score(trees, t["c"]).alias("score"), t["c"]["start"].alias("start"), F.lit(i).alias("k"), t["c"]["end"].alias("end")))
+        return F.filter(scored, lambda x: x["score"] >= F.lit(float(limits[i]) - 1e-9)).alias(f"kept_{k}")
+
+    some = [(i, k) for i, k in enumerate(KINDS) if i in limits]
+    kept = durable(found.select("doc_id", base.alias("base"), *(chosen(i, k) for i, k in some)))
+    rank = lambda x: F.struct(x["score"], -x["start"], x["k"])
+    extra = []
+    for _, k in some:
+        beaten = lambda x: reduce(lambda a, b: a | b, (F.exists(_overlapping(F.col(f"kept_{o}"), x), lambda y: rank(y) > rank(x)) for _, o in some if o != k), F.lit(False))
+        best = F.filter(f"kept_{k}", lambda x: ~beaten(x))
+        extra.append(F.transform(best, lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"))))
+    return kept.select("doc_id", "base", F.concat("base", *extra).alias("spans"))
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

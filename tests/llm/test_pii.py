@@ -93,3 +93,87 @@ def test_threshold_keeps_precision():
     s = lambda v: sum(pii._one(t, v) for t in trees)
     assert s(x) >= limits[2] > s(y)
     assert pii.fit([]) == ([], {})
+
+
+def brute_added(spans_base, tries, added_ok, score):
+    """Additions by all pairs: what meets no base span and isn't beaten by an overlapping one."""
+    free = [t for t in tries if added_ok(t) and not any(t[0] < e and s < t[2] for s, _, e in spans_base)]
+    key = lambda t: (score(t), -t[0], t[1])
+    return sorted((s, k, e) for s, k, e in free if not any(a < e and s < b and key((a, j, b)) > key((s, k, e)) for a, j, b in free if j != k))
+
+
+def test_added_spans_against_all_pairs(spark, monkeypatch):
+    """With a known score in place of the trees, additions are those that all pairs give."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    al = ["1.2[.]3.4", "10 . 0 . 0 . 1", "a(at)b.co", "a.b @ c.d", "988 555 2485", "4111.1111.1111.1111", "1.2.3.4", "x@y.zz", "+1 988 555 2485", " ", "-", "12 34 56", ". "]
+    data = [(i, "".join(rng.choice(al) + rng.choice([" ", "", "; "]) for _ in range(rng.randint(1, 30)))) for i in range(150)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    monkeypatch.setattr(pii, "fit", lambda table: ([()], dict.fromkeys(range(4), 3.0)))
+    monkeypatch.setattr(pii, "_score", lambda trees, c: F.col("x") if c is None else ((c["start"] * 7 + c["end"]) % 11).cast("double"))
+    valid = {
+        0: lambda m: re.search("[A-Za-z]{2}$", m) is not None,
+        1: lambda m: max(map(int, re.sub("[^0-9.]", "", m).split("."))) <= 255 and len(re.sub("[^0-9.]", "", m).split(".")) == 4,
+        2: lambda m: 12 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m)),
+        3: lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15,
+    }
+    n = 0
+    for r in pii.find_pii(df).collect():
+        t = dict(data)[r.doc_id]
+        base = brute(t)
+        import regex
+
+        tries = [(m.start(), k, m.end()) for k, p in enumerate(pii.PROPOSE.values()) for m in regex.finditer(p, t, regex.A)]
+        score = lambda x: (x[0] * 7 + x[2]) % 11
+        want = brute_added(base, tries, lambda x: valid[x[1]](t[x[0] : x[2]]) and score(x) >= 3, score)
+        assert sorted(map(tuple, r.spans)) == sorted([*base, *want])
+        n += len(want)
+    assert n > 100
+
+
+def planted():
+    """Base items, the same in unknown forms, and neutral numbers, each in its own document."""
+    rng = random.Random(6)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows, want = [], {}
+    for i in range(3000):
+        a, b = f"u{num(3)}", f"host{num(2)}"
+        ip = ".".join(str(rng.randrange(256)) for _ in range(4))
+        if i % 10 < 6:
+            text = [f"please write to {a}@{b}.com today", f"the server {ip} is down", f"please call +1 988 555 {num(4)} now"][i % 3]
+            rows.append((i, text))
+        elif i % 10 < 8:
+            item = [f"{a}(at){b}.com", ip.replace(".", "[.]"), f"1 988 555 {num(4)}"][i % 3]
+            rows.append((i, ["please write to ", "the server ", "please call "][i % 3] + item + [" today", " is down", " now"][i % 3]))
+            want[i] = item
+        else:
+            rows.append((i, f"part {num(3)}-{num(4)}-{num(4)} of lot {num(2)}.{num(2)}.{num(2)}"))
+    return rows, want
+
+
+def test_planted_forms_are_added_and_neutral_numbers_are_not(spark):
+    rows, want = planted()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    added = {i: [t[s.start : s.end] for s in by[i].spans if s not in by[i].base] for i, t in rows}
+    hit = sum(want.get(i) in x for i, x in added.items() if i in want)
+    all_added = sum(map(len, added.values()))
+    assert hit >= 0.9 * len(want) and hit >= 0.9 * all_added
+    for row in pii.calibration(df):
+        assert row["found"] >= 0.9 * row["planted"] and row["false"] <= 0.1 * max(1, row["found"])
+
+
+def test_time_is_near_linear_in_the_spans_of_a_text(spark):
+    import time
+
+    took = []
+    for n in (2000, 16000):
+        text = " ".join(f"10.0.{k % 256}.{k % 250} (988) 555-{k % 10000:04}" for k in range(n // 2))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        pii.find_pii(df).collect()
+        began = time.perf_counter()
+        r = pii.find_pii(df).first()
+        took.append(time.perf_counter() - began)
+        assert len(r.base) == n // 2
+    assert took[1] < 30
