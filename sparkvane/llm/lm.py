@@ -339,7 +339,7 @@ def _base(head, model=None, mu: float = 0.0):
         keys, logs = head.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for b in slices(batch, 4 << 20):
+            for b in slices(batch, 2 << 20):
                 h, before, n = hashed(b.column("text").to_pylist())
                 ends = np.cumsum(n)
                 begin = ends - n
