@@ -98,11 +98,11 @@ def category_histogram(df: DataFrame, c: str, limit: int = 1024, keep: int = 256
 def frequency_encoding(df: DataFrame, c: str, limit: int = 512) -> DataFrame:
     """Adds <c>_share; NULL where the column has over `limit` categories.
 
-    The small count table is joined back, so no window holds a whole category."""
+    At most `limit` counts are broadcast, none if there are more: the table never moves."""
     h = df.groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
     t = h.agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("__k"))
-    shares = h.crossJoin(F.broadcast(t)).select(F.col(c).alias("__key"), F.when(F.col("__k") <= limit, F.col("__n") / F.col("__all")).alias(f"{c}_share"))
-    return df.join(shares, df[c].eqNullSafe(F.col("__key")), "left").drop("__key")
+    shares = h.crossJoin(F.broadcast(t)).where(F.col("__k") <= limit).select(F.col(c).alias("__key"), (F.col("__n") / F.col("__all")).alias(f"{c}_share"))
+    return df.join(F.broadcast(shares), df[c].eqNullSafe(F.col("__key")), "left").drop("__key")
 
 
 def graph_shape(edges: DataFrame, s: str, t: str, by: list[str] = ()) -> DataFrame:

@@ -69,9 +69,10 @@ def trailing_histograms(h: DataFrame, at: str, key: str, n: int) -> DataFrame:
     """(at, key, n1, n0): each period against the sum of the n periods before it, on a
     dense spine so that an absent category counts 0.
 
-    For category histograms, which hold at most some thousand keys (aggregates.
-    category_histogram pools the rest); trailing_pairs has no spine and no such bound."""
-    spine = h.select(at).distinct().crossJoin(F.broadcast(h.select(key).distinct()))
+    The periods, one row each, are what is broadcast; keys may be many and stay where they
+    are. trailing_pairs has no spine."""
+    periods = h.agg(F.collect_set(at).alias(at))
+    spine = h.select(key).distinct().crossJoin(F.broadcast(periods)).withColumn(at, F.explode(at))
     d = spine.join(h, [at, key], "left").na.fill(0, ["n"])
     base = F.sum("n").over(Window.partitionBy(key).orderBy(at).rowsBetween(-n, -1))
     return d.select(at, key, F.col("n").alias("n1"), base.alias("n0"))
@@ -157,8 +158,8 @@ def rank_churn(h: DataFrame, at: str, key: str, k: int = TOP) -> DataFrame:
 
 def leave_one_out(panel: DataFrame, segment: str) -> DataFrame:
     """Moments of each segment against the pool of all others (panel: segment, n, s1, s2)."""
-    w = Window.partitionBy()
-    p = panel.withColumns({f"o{c}": F.sum(c).over(w) - F.col(c) for c in ("n", "s1", "s2")})
+    every = panel.agg(*(F.sum(c).alias(f"__{c}") for c in ("n", "s1", "s2")))
+    p = panel.crossJoin(F.broadcast(every)).withColumns({f"o{c}": F.col(f"__{c}") - F.col(c) for c in ("n", "s1", "s2")})
     v = lambda n, a, b: (F.col(b) - F.col(a) * F.col(a) / F.col(n)) / (F.col(n) - 1)
     return p.select(segment, "n", F.col("on").alias("peers_n"), (F.col("s1") / F.col("n")).alias("mean"), (F.col("os1") / F.col("on")).alias("peers_mean"), v("n", "s1", "s2").alias("variance"), v("on", "os1", "os2").alias("peers_variance"))
 
@@ -172,16 +173,23 @@ def segment_divergence_mean(df: DataFrame, x: str, segment: str, least: int = 30
 
 def segment_divergence_null(df: DataFrame, c: str, segment: str, least: int = 30) -> DataFrame:
     panel = df.groupBy(segment).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count(c)).alias("nulls")).where(F.col("n") >= least)
-    w = Window.partitionBy()
-    p = panel.withColumns({"peers_n": F.sum("n").over(w) - F.col("n"), "peers_nulls": F.sum("nulls").over(w) - F.col("nulls")})
+    every = panel.agg(F.sum("n").alias("__n"), F.sum("nulls").alias("__nulls"))
+    p = panel.crossJoin(F.broadcast(every)).withColumns({"peers_n": F.col("__n") - F.col("n"), "peers_nulls": F.col("__nulls") - F.col("nulls")}).drop("__n", "__nulls")
     return p.withColumn("z", K.two_proportion_z(F.col("nulls"), F.col("n"), F.col("peers_nulls"), F.col("peers_n")))
 
 
-def segment_divergence_mix(df: DataFrame, key: str, segment: str, least: int = 30) -> DataFrame:
-    """G of each segment's category mix against the pooled mix of the others."""
+def segment_divergence_mix(df: DataFrame, key: str, segment: str, least: int = 30, most: int = 2000) -> DataFrame:
+    """G of each segment's category mix against the pooled mix of the others.
+
+    Segments are a panel and refused beyond `most`; they are what is broadcast, so keys
+    may be many."""
     h = df.groupBy(segment, key).agg(F.count(F.lit(1)).alias("n"))
-    segs, keys = h.select(segment).distinct(), h.select(key).distinct()
-    d = segs.crossJoin(F.broadcast(keys)).join(h, [segment, key], "left").na.fill(0, ["n"])
+    if h.select(segment).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"over {most} segments")
+    segs = h.groupBy(segment).agg(F.lit(1).alias("__one")).drop("__one")
+    d = h.select(key).distinct().crossJoin(F.broadcast(segs))
+    there = h.select(F.col(segment).alias("__s"), F.col(key).alias("__k"), "n")
+    d = d.join(there, F.col(segment).eqNullSafe(F.col("__s")) & F.col(key).eqNullSafe(F.col("__k")), "left").drop("__s", "__k").na.fill(0, ["n"])
     d = d.withColumn("n0", F.sum("n").over(Window.partitionBy(key)) - F.col("n")).select(segment, key, F.col("n").alias("n1"), "n0")
     return C.compare(d, [segment]).where(F.col("n1") >= least)
 

@@ -26,14 +26,19 @@ class Rule:
 
 
 def pit_self(df: DataFrame, entity: str, ts: str, agg: Column, rule: Rule, name: str = "value", fill_zero: bool = False) -> DataFrame:
-    """`agg` over an entity's own earlier rows, strictly by time: one range window.
+    """`agg` over an entity's own earlier rows, strictly by time.
 
-    One hot entity is one sorted partition; use pit_join where an entity may hold a
-    large part of all rows."""
+    Rows are cut into lookback-wide buckets of an entity, each with a copy of the bucket
+    before it, so a window sorts two lookbacks of an entity and never all of a hot one.
+    A row without a time has the other such rows of its entity as history."""
     end = -rule.embargo if rule.inclusive_end else -rule.embargo - 1
-    w = Window.partitionBy(entity).orderBy(micros(ts)).rangeBetween(-rule.lookback, end)
+    bucket = F.floor(micros(ts) / rule.lookback)
+    copies = F.when(bucket.isNull(), F.array(bucket)).otherwise(F.array(bucket, bucket + 1))
+    d = df.withColumn("__b", F.explode(copies))
+    w = Window.partitionBy(entity, "__b").orderBy(micros(ts)).rangeBetween(-rule.lookback, end)
     v = agg.over(w)
-    return df.withColumn(name, F.coalesce(v, F.lit(0)) if fill_zero else v)
+    d = d.withColumn(name, F.coalesce(v, F.lit(0)) if fill_zero else v)
+    return d.where(F.col("__b").eqNullSafe(bucket)).drop("__b")
 
 
 def pit_join(events: DataFrame, history: DataFrame, entity: str, ts: str, hts: str, agg: Column, rule: Rule, ident: str, name: str = "value", fill_zero: bool = False) -> DataFrame:

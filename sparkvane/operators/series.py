@@ -110,17 +110,26 @@ def cumulative(h: DataFrame, x: str, n: str, by: list[str] = ()) -> DataFrame:
     inside = F.sum(n).over(Window.partitionBy(*by, "__b").orderBy(x))
     sizes = b.groupBy(*by, "__b").agg(F.sum(n).alias("__s"))  # COARSE * (FINE + 1) rows a group at most
     w = Window.partitionBy(*by)
-    off = sizes.select(*by, "__b", F.coalesce(F.sum("__s").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"), F.sum("__s").over(w).alias("total"))
-    return b.withColumn("__i", inside).join(off, [*by, "__b"]).withColumn("cum", F.col("__i") + F.col("__o")).drop("__b", "__i", "__o")
+    keys = [F.col(c).alias(f"__k{i}") for i, c in enumerate(by)]
+    off = sizes.select(*keys, F.col("__b").alias("__c"), F.coalesce(F.sum("__s").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"), F.sum("__s").over(w).alias("total"))
+    same = F.col("__b") == F.col("__c")
+    for i, c in enumerate(by):  # a NULL group is a group
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    j = b.withColumn("__i", inside).join(off, same)
+    return j.withColumn("cum", F.col("__i") + F.col("__o")).select(*h.columns, "total", "cum")
 
 
 def average_rank(df: DataFrame, score: str, by: list[str] = ()) -> DataFrame:
-    """Adds `avg_rank` (ties share the mean of their ranks).
+    """Adds `avg_rank` (ties share the mean of their ranks; NULL for a NULL score).
 
     Ranks come from the counts of distinct scores, so equal scores never meet in one task's buffer."""
-    h = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("__n"))
-    ranks = cumulative(h, score, "__n", by).select(*by, score, (F.col("cum") - F.col("__n") + (F.col("__n") + 1) / 2).alias("avg_rank"))
-    return df.join(ranks, [*by, score])
+    h = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("__n"))
+    keys = [F.col(c).alias(f"__r{i}") for i, c in enumerate([*by, score])]
+    ranks = cumulative(h, score, "__n", by).select(*keys, (F.col("cum") - F.col("__n") + (F.col("__n") + 1) / 2).alias("avg_rank"))
+    same = F.col(score) == F.col(f"__r{len(by)}")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__r{i}"))
+    return df.join(ranks, same, "left").select(*df.columns, "avg_rank")
 
 
 def ecdf_tails(df: DataFrame, x: str, by: list[str] = ()) -> DataFrame:

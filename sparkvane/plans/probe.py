@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
-from .segment import Segment, canonical_column, canonical_json
+from .segment import Segment, column_key, canonical_json
 
 KINDS = ("ROW_COUNT", "NULL_RATE", "DISTINCT_COUNT", "QUANTILES", "HEAVY_HITTERS", "CATEGORY_HISTOGRAM", "GRAPH_DEGREE", "COLUMN_BOUNDS", "FRESHNESS", "SEGMENT_AGGREGATE", "JOIN_CARDINALITY")
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -47,7 +47,7 @@ class Probe:
     @property
     def key(self) -> str:
         """Identity without snapshot and budget."""
-        body = [self.kind, sorted(map(canonical_column, self.columns)) if self.kind != "GRAPH_DEGREE" else [canonical_column(c) for c in self.columns], self.segment.canonical(), sorted([k, str(v)] for k, v in self.params)]
+        body = [self.kind, sorted(map(column_key, self.columns)) if self.kind != "GRAPH_DEGREE" else [column_key(c) for c in self.columns], self.segment.canonical(), sorted([k, str(v)] for k, v in self.params)]
         return "probe_" + hashlib.blake2b(canonical_json(body).encode(), digest_size=16).hexdigest()
 
 
@@ -57,12 +57,12 @@ class Refusal(Exception):
 
 def plan(probe: Probe, df: DataFrame, blind: frozenset[str] = frozenset(), opaque: frozenset[str] = frozenset(), estimate_bytes: float = 0) -> DataFrame:
     """The probe as a DataFrame over `df`, or Refusal."""
-    names = {canonical_column(c): c for c in df.columns}
+    names = {column_key(c): c for c in df.columns}
     if probe.kind not in KINDS:
         raise Refusal("UNKNOWN_KIND")
     try:
-        cols = [names[canonical_column(c)] for c in probe.columns]
-        used = {names[canonical_column(p.column)] for p in probe.segment.predicates}
+        cols = [names[column_key(c)] for c in probe.columns]
+        used = {names[column_key(p.column)] for p in probe.segment.predicates}
     except KeyError as e:
         raise Refusal(f"UNKNOWN_COLUMN {e}") from None
     if blind & (set(cols) | used):

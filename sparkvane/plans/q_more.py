@@ -108,11 +108,11 @@ def pattern_indicator(spark, d):
 
 # -- findings ----------------------------------------------------------------------------------------
 
-_P = "(select event_id, (event_id * 7919 % 10007) / 10007.0 as p from events where event_id <= 400)"
+_P = "(select event_id, (event_id * 7919 % 10007) / 10007.0 as p from events)"
 
 
 def _pvalues(spark, d):
-    return T(spark, d, "events").where("event_id <= 400").select("event_id", ((F.col("event_id") * 7919 % 10007) / 10007.0).alias("p"))
+    return T(spark, d, "events").select("event_id", ((F.col("event_id") * 7919 % 10007) / 10007.0).alias("p"))
 
 
 @query(f"with r as (select *, row_number() over (order by p, event_id) k, count(*) over () m from {_P}) select event_id, round(min(least(1, p*greatest(m,500)/k)) over (order by k rows between current row and unbounded following), 6) as q from r")
@@ -519,7 +519,7 @@ def feature_hash_embedding(spark, d):
 
 @query("select country, count(*) > 0 as some from (values ('PT'),('US'),('GB')) t(country) group by 1")
 def synthetic_source(spark, d):
-    cols = [R.SyntheticColumn("country", "categorical", ("US", "GB", "PT"), (0.6, 0.2, 0.2)), R.SyntheticColumn("amount", "lognormal", mean=3.2, sigma=0.7, null_fraction=0.1)]
+    cols = [R.SyntheticColumn("country", "categorical", ("US", "GB", "PT"), weights=(0.6, 0.2, 0.2)), R.SyntheticColumn("amount", "lognormal", mean=3.2, sigma=0.7, null_fraction=0.1)]
     return R.synthetic(spark, cols, 2000).groupBy("country").agg((F.count(F.lit(1)) > 0).alias("some"))
 
 

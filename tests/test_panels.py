@@ -67,3 +67,32 @@ def test_feature_vector_shape(spark):
     assert abs(r["a"].hhi - sum((x / 50) ** 2 for x in n)) < 1e-9 and abs(r["a"].entropy + sum(x / 50 * math.log(x / 50) for x in n)) < 1e-9
     assert abs(r["a"].gini - (2 * (1 * 5 + 2 * 15 + 3 * 30) / (3 * 50) - 4 / 3)) < 1e-9
     assert (r["a"].top_1_share, r["a"].top_3_share, r["a"].top_4_share, r["a"].cdf_0) == (0.6, 0.1, None, 0.6)
+
+
+def test_null_slices_and_scores_stay(spark):
+    from sparkvane.operators import series as S
+
+    d = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, None, 2.0), (4, None, 2.0), (5, None, None), (6, "a", None)], "i int, g string, x double")
+    assert {r.i: r.avg_rank for r in S.average_rank(d, "x", ["g"]).collect()} == {1: 1.0, 2: 2.0, 3: 1.5, 4: 1.5, 5: None, 6: None}
+    h = d.where("x is not null").groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+    assert {(r.g, r.x): (r.cum, r.total) for r in S.cumulative(h, "x", "n", ["g"]).collect()} == {("a", 1.0): (1, 2), ("a", 3.0): (2, 2), (None, 2.0): (2, 2)}
+    assert {(r.g, r.x) for r in S.ecdf_tails(d, "x", ["g"]).collect()} == {("a", 1.0), ("a", 3.0), (None, 2.0)}
+
+
+def test_own_history_in_buckets_is_that_of_one_window(spark):
+    import datetime as dt
+
+    from sparkvane.operators import features as FE
+
+    rng = random.Random(4)
+    at = lambda s: dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(seconds=s)
+    rows = [(i, rng.choice(["hot", "hot", "b", None]), at(rng.randrange(-3000, 3000)) if i % 20 else None, rng.randint(1, 9)) for i in range(300)]
+    d = spark.createDataFrame(rows, "i int, e string, ts timestamp, v int")
+    for rule in (FE.Rule(500 * FE.SECOND), FE.Rule(700 * FE.SECOND, 100 * FE.SECOND, True)):
+        got = {r.i: r.value for r in FE.pit_self(d, "e", "ts", F.sum("v"), rule).collect()}
+        assert len(got) == 300
+        for i, e, t, _ in rows:
+            if t is not None:
+                lag = lambda x: (t - x).total_seconds() * FE.SECOND
+                near = [v for _, o, x, v in rows if o == e and x is not None and lag(x) <= rule.lookback and (lag(x) >= rule.embargo if rule.inclusive_end else lag(x) > rule.embargo)]
+                assert got[i] == (sum(near) if near else None)
