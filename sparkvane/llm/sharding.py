@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, fold, read
@@ -106,6 +106,11 @@ def cut_points(groups: DataFrame, k: int) -> tuple[list[int], int]:
     return [bins[i].first for i in fill(bins, capacity, False)], capacity
 
 
+def _number(g: Column, cuts: list[int]) -> Column:
+    """Shard of a group, by the cuts at or below it."""
+    return sum(((g >= c).cast("int") for c in cuts), F.lit(0)).cast("int")
+
+
 def shard(docs: DataFrame, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, g (group hash), shard, slot (gapless from 0 per shard).
 
@@ -124,10 +129,7 @@ def shard(docs: DataFrame, k: int = 8, id_col: str = "doc_id", text_col: str = "
     )
     groups = durable(rows.groupBy("g").agg(F.sum("size").alias("bytes")))
     cuts, _ = cut_points(groups, k)
-    number = F.lit(0)
-    for c in cuts:
-        number = number + (F.col("g") >= c).cast("int")
-    rows = rows.withColumn("shard", number.cast("int")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "g"), F.lit(BUCKETS)).cast("int"))
+    rows = rows.withColumn("shard", _number(F.col("g"), cuts)).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "g"), F.lit(BUCKETS)).cast("int"))
     n = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))  # at most k * BUCKETS rows
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = n.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -137,10 +139,13 @@ def shard(docs: DataFrame, k: int = 8, id_col: str = "doc_id", text_col: str = "
 
 
 def write_shards(docs: DataFrame, path: str, k: int = 8, tasks_per_shard: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write `docs` with its shard under path/shard=N, each shard by several tasks."""
-    placed = shard(docs, k, id_col, text_col).select(F.col("g").alias("_g"), "shard").distinct()
-    held = docs.withColumn("_g", F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 64 - WIDTH))
-    out = held.join(placed, "_g").drop("_g")
+    """Write `docs` with its shard under path/shard=N, each shard by several tasks; a column
+    named shard is replaced. Nothing is joined: a row's shard follows from the cuts."""
+    text = F.col(text_col).cast("string")
+    group = F.shiftrightunsigned(F.xxhash64(text), 64 - WIDTH)
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+    cuts, _ = cut_points(durable(docs.groupBy(group.alias("g")).agg(F.sum(size).alias("bytes"))), k)
+    out = docs.withColumn("shard", _number(group, cuts))
     out.repartition(k * tasks_per_shard, "shard", F.pmod(F.xxhash64(id_col), F.lit(tasks_per_shard))).write.partitionBy("shard").parquet(path)
 
 

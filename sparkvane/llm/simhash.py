@@ -9,8 +9,8 @@ distance to the parent; a search follows only edges within the radius.
 The trees travel by shuffle, not by broadcast: together they hold every
 fingerprint of the corpus, so no size bound could be proven for a broadcast.
 A shard of over HOT fingerprints is cut again by the 32 free bits in three
-parts (one must agree), after which at most 2^22 different fingerprints can
-share a shard. Links emitted per shard are a spanning forest, never all pairs.
+parts (one must agree), a part of over HOT by its 21 or 22 free bits likewise,
+after which at most 2^15 different fingerprints can share a shard. Links emitted per shard are a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -156,15 +156,20 @@ def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     n = routed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     routed = routed.join(n, "shard")
     whole = routed.where(F.col("n") <= HOT).groupBy("shard").agg(F.collect_list("fp").alias("fps")).select("fps")
-    part = F.inline(
-        F.array(*(F.struct(F.lit(i).alias("k"), F.shiftright("rest", 11 * i).bitwiseAND(0x7FF).alias("bits")) for i in range(3)))
-    )
-    cut = (
-        routed.where(F.col("n") > HOT).select("shard", "fp", part)
-        .groupBy("shard", "k", "bits").agg(F.collect_list("fp").alias("fps"))
-        .where(F.size("fps") > 1).select("fps")
-    )
-    return whole.unionAll(cut).mapInArrow(_tree_links(radius), "u long, v long")
+
+    def cut(rest: Column, width: int, k: str, bits: str) -> Column:
+        mask = (1 << width) - 1
+        return F.inline(F.array(*(F.struct(F.lit(i).alias(k), F.shiftright(rest, width * i).bitwiseAND(mask if i < 2 else 2 * mask + 1).alias(bits)) for i in range(3))))
+
+    one = ["shard", "k", "bits"]
+    parts = routed.where(F.col("n") > HOT).select("shard", "fp", "rest", cut(F.col("rest"), 11, "k", "bits"))
+    parts = parts.join(parts.groupBy(*one).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), one)
+    high = [F.shiftright("rest", s).bitwiseAND((1 << 32 - s) - 1) for s in (11, 22)]
+    free = F.when(F.col("k") == 0, high[0]).when(F.col("k") == 1, F.shiftleft(high[1], 11).bitwiseOR(F.col("rest").bitwiseAND(0x7FF))).otherwise(F.col("rest").bitwiseAND(0x3FFFFF))
+    deep = parts.where(F.col("m") > HOT).select(*one, "fp", cut(free, 7, "l", "more"))
+    gather = F.collect_list("fp").alias("fps")
+    cuts = [parts.where(F.col("m") <= HOT).groupBy(*one).agg(gather).select("fps"), deep.groupBy(*one, "l", "more").agg(gather).where(F.size("fps") > 1).select("fps")]
+    return whole.unionAll(cuts[0]).unionAll(cuts[1]).mapInArrow(_tree_links(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:

@@ -16,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import durable, read
 
+FEW = 1 << 20  # names of responses that are broadcast
 #: headers that a 304 response carries for the stored response (RFC 9111, 3.2); representation
 #: metadata of the stored body and connection headers stay as they are
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "age", "server")
@@ -78,7 +79,9 @@ def resolve_revisits(records: DataFrame, bucket_width: int = 86_400) -> DataFram
     null url or time); `mismatch` (validators differ or are missing; the found
     response is named, headers are the revisit's own, payload null). Captures at
     the same time are ordered by record_id; null headers count as none; repeated
-    rows are resolved each; an empty table gives an empty result."""
+    rows are resolved each; of responses with the same id and time the least payload
+    counts; an empty table gives an empty result. Only payloads of responses that
+    resolve a revisit are moved."""
     none = F.create_map().cast("map<string,string>")
     slim = records.select("record_id", canonical_url(F.col("url")).alias("key"), F.col("at").cast("long").alias("at"), "kind", F.coalesce("headers", none).alias("headers"))
     lost = slim.where("kind = 'revisit' and (key is null or at is null)").withColumn("found", F.lit(None).cast(f"struct<at:bigint,record_id:{slim.schema['record_id'].dataType.simpleString()},headers:map<string,string>>"))
@@ -88,12 +91,17 @@ def resolve_revisits(records: DataFrame, bucket_width: int = 86_400) -> DataFram
     r = r.select(
         "record_id", "key", "at",
         F.when(F.col("found").isNull(), "no_response").when(agree, "resolved").otherwise("mismatch").alias("status"),
-        F.col("found.record_id").alias("response_id"),
+        F.col("found.record_id").alias("response_id"), F.col("found.at").alias("response_at"),
         F.when(F.col("found").isNotNull() & agree, merged_headers(F.col("headers"), F.col("found.headers"))).otherwise(F.col("headers")).alias("headers"),
     )
-    bodies = records.where("kind = 'response'").groupBy(F.col("record_id").alias("_id")).agg(F.first("payload").alias("payload"))
-    want = F.when(F.col("status") == "resolved", F.col("response_id"))
-    return r.join(bodies, want == F.col("_id"), "left").drop("_id")
+    r = durable(r)
+    wanted = r.where("status = 'resolved'").select(F.col("response_id").alias("_id"), F.col("response_at").alias("_at")).distinct()
+    if wanted.limit(FEW + 1).count() <= FEW:  # else the payloads are shuffled to them
+        wanted = F.broadcast(wanted)
+    full = records.where("kind = 'response'").select(F.col("record_id").alias("_id"), F.col("at").cast("long").alias("_at"), "payload")
+    bodies = full.join(wanted, ["_id", "_at"], "left_semi").groupBy("_id", "_at").agg(F.min("payload").alias("payload"))
+    resolved = (F.col("status") == "resolved") & (F.col("response_id") == F.col("_id")) & (F.col("response_at") == F.col("_at"))
+    return r.join(bodies, resolved, "left").drop("_id", "_at", "response_at")
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
