@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_basic, q_more, q_series  # noqa: F401
+from . import q_basic, q_extra, q_more, q_series  # noqa: F401
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "category_drift_findings"
