@@ -10,6 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of at most BATCH_BYTES from the JVM to Python in this session (64 MB by default):
+    an executor's memory is then its heap and small buffers, whatever the rows' sizes."""
+    if int(spark.conf.get(BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -28,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there, so
     a lost executor costs a re-read, never a recomputation."""
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -35,6 +47,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 def fold(df: DataFrame, id_col: str, text_col: str, null_text: str | None = "") -> DataFrame:
     """Only the two columns used, renamed, so that extra or clashing columns are harmless."""
+    small_batches(df.sparkSession)
     t = F.col(text_col).cast("string")
     if null_text is not None:
         t = F.coalesce(t, F.lit(null_text))

@@ -17,7 +17,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fold, is_fold, read, slices
+from .common import durable, fold, is_fold, read, slices, small_batches
 
 SHARE = 3e-4
 LANGUAGES = 1024
@@ -219,6 +219,7 @@ def keep_known(docs: DataFrame, model: BitSlicedFilter, text_col: str = "text",
                     b = b.set_column(k, b.schema.field(k), pc.coalesce(b.column(k), pa.array(lang, b.column(k).type)))
                 yield b.filter(pa.array(ok, pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
