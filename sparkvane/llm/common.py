@@ -36,12 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, **options: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there, so
-    a lost executor costs a re-read, never a recomputation."""
+    a lost executor costs a re-read, never a recomputation. options: of the Parquet writer."""
     small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -82,10 +82,10 @@ def slices(batch, max_bytes: int = 8 << 20, col: str = "text"):
         j = min(n, max(j, i + 1))
         yield batch.slice(i, j - i)
         i = j
-    _trim()
+    trim()
 
 
-def _trim() -> None:
+def trim() -> None:
     """Give freed pages back: a worker serves many tasks, and what one stage's arrays
     took would otherwise stay resident through the next ones."""
     import ctypes

@@ -111,3 +111,39 @@ def test_bits_an_entry_do_not_depend_on_the_number():
         one = m.LogBloom(np.frombuffer(seg, np.uint8), np.zeros((2, 1), np.int64), np.full((2, 1), 8 * len(seg)), 1, 1, 1)
         other = rng.integers(0, 1 << 63, 50000).astype(np.uint64)
         assert (one.read(1, other) > 0).mean() < 0.04
+
+
+def test_texts_are_gone_through_as_often_at_any_size_of_the_filter(spark, monkeypatch):
+    """A filter past the limit took a pass over all texts for each part of it."""
+    written = []
+    real = m.durable
+    monkeypatch.setattr(m, "durable", lambda df, **x: written.append(df.columns) or real(df, **x))
+    df = spark.createDataFrame(rows(), "doc_id long, text string")
+    for buckets in (4, 16):
+        written.clear()
+        m.score_documents(df, m.is_fold("doc_id", 5), buckets=buckets, pass_bytes=1).collect()
+        assert len(written) <= 3
+
+
+def test_op6_broadcasts_no_filter(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(m, "load", None)
+    data = rows()
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = m.op6_lm_scoring(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == brute(data)
+
+
+def test_chunks_and_a_null_fold(spark):
+    """Many chunks, and rows of which it's unknown whether they are held out (not learned from), as by broadcast."""
+    df = spark.createDataFrame(rows(), "doc_id long, text string").repartition(5)
+    held = m.F.when(df.doc_id % 7 != 0, m.is_fold("doc_id", 5))
+    row = lambda r: (r.doc_id is None, r.doc_id or 0, r.held_out is None, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))
+    want = sorted(map(row, m.score_documents(df, held, buckets=4).collect()))
+    assert sorted(map(row, m.score_in_place(df, held, buckets=4, chunk_tokens=1).collect())) == want
+    assert m.score_in_place(df.limit(0), m.is_fold("doc_id", 5)).count() == 0
+
+
+def test_planes():
+    keys = np.unique(np.random.default_rng(5).integers(0, 1 << 64, 1000, np.uint64))
+    assert (np.cumsum(m.from_planes(m.planes(m.gaps(keys)), np.uint64), dtype=np.uint64) == keys).all()
+    assert len(m.from_planes(m.planes(keys[:0]), np.uint64)) == 0
