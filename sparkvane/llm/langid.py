@@ -21,8 +21,8 @@ from .common import durable, fold, is_fold, read, slices, small_batches
 
 SHARE = 3e-4
 LANGUAGES = 1024
-REJECT = 0.1  # a text goes whose best language contains a smaller part of its trigrams,
-ENOUGH = 30_000  # if every language was learned from as many trigrams at least
+REJECT = 0.1  # a text goes whose best language contains a smaller part of its trigrams, by more than
+MARGIN, ENOUGH = 0.02, 30_000  # MARGIN if the least known language was learned from ENOUGH trigrams
 HASHES, BITS_PER_GRAM = 4, 16
 _EDGE = 0x20
 
@@ -195,13 +195,23 @@ def predict(docs: DataFrame, model: BitSlicedFilter, id_col="doc_id", text_col="
     return d.mapInArrow(_predict(bc), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+def least_share(learned: int, reject: float = REJECT) -> float:
+    """The share of its trigrams under which a text is in none of the languages.
+
+    What a language's set holds of it is an estimate from the trigrams learned. By
+    Hoeffding's inequality it is off by over MARGIN * sqrt(ENOUGH / learned) with a
+    chance of exp(-2 * ENOUGH * MARGIN ** 2), 4e-11, whatever `learned` is; a share
+    within that of `reject` may belong to a language. Under 0: no text goes."""
+    return reject - MARGIN * (ENOUGH / learned) ** 0.5 if learned else 0.0
+
+
 def keep_known(docs: DataFrame, model: BitSlicedFilter, text_col: str = "text", lang_col: str = "lang", reject: float = REJECT) -> DataFrame:
-    """`docs` without the rows whose text is null, has no letter or scores under `reject`;
-    all columns and other rows stay as they are, but a null `lang_col` (if there is one, of
-    strings) becomes the predicted language. A model learned from fewer than ENOUGH trigrams in some
-    language, or without languages, rejects only texts without a letter."""
+    """`docs` without the rows whose text is null, has no letter or scores under `reject` by more
+    than can be chance (`least_share`); all columns and other rows stay as they are, but a null
+    `lang_col` (if there is one, of strings) becomes the predicted language. A model without
+    languages rejects only texts without a letter."""
     bc = docs.sparkSession.sparkContext.broadcast(model)
-    sure = model.learned >= ENOUGH
+    least = least_share(model.learned, reject)
     fill = lang_col in docs.columns and dict(docs.dtypes)[lang_col] == "string" and bool(model.langs)
 
     def run(batches):
@@ -213,7 +223,7 @@ def keep_known(docs: DataFrame, model: BitSlicedFilter, text_col: str = "text",
             for b in slices(batch, 1 << 20, text_col):
                 grams = Grams(b.column(at).to_pylist())
                 lang, score = bc.value.classify(grams)
-                ok = [bool(has) and (s >= reject or not sure) for has, s in zip(grams.has_letter, score)]
+                ok = [bool(has) and s >= least for has, s in zip(grams.has_letter, score)]
                 if fill:
                     k = b.schema.get_field_index(lang_col)
                     b = b.set_column(k, b.schema.field(k), pc.coalesce(b.column(k), pa.array(lang, b.column(k).type)))

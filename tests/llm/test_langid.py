@@ -108,6 +108,21 @@ def test_stage_fills_the_language_and_rejects_the_unknown(spark):
     assert got == {**{i: "en" for i in range(20)}, 30: "en"}
 
 
+def test_rejection_has_no_switch_by_what_was_learned(spark):
+    """One trigram more or less learned decides on no text but by a hair of its score: a text in
+    no known language goes under either, one of a score near REJECT stays under either."""
+    langs, grams, _ = m._train(spark.createDataFrame([(i, "the words of the other side are here and there", "en") for i in range(20)], "doc_id long, text string, lang string"))
+    alien, near = "каждый охотник желает знать", "the каждый охотник желает знать где"
+    docs = spark.createDataFrame([(1, alien, None), (2, near, None)], "doc_id long, text string, lang string")
+    score = {r.doc_id: r.score for r in m.predict(docs, m.BitSlicedFilter(langs, grams)).collect()}
+    assert score[1] < 0.02 and m.least_share(m.ENOUGH) < score[2] < m.REJECT
+    for learned in (m.ENOUGH // 10, m.ENOUGH - 1, m.ENOUGH):
+        assert [r.doc_id for r in m.keep_known(docs, m.BitSlicedFilter(langs, grams, learned)).collect()] == [2]
+    shares = [m.least_share(n) for n in range(1, 200_000)]
+    assert all(0 <= b - a < 1e-3 for a, b in zip(shares, shares[1:]) if b > 0) and shares[-1] < m.REJECT
+    assert m.least_share(0) == 0
+
+
 def test_too_many_languages_are_refused(spark, monkeypatch):
     monkeypatch.setattr(m, "LANGUAGES", 2)
     docs = spark.createDataFrame([(i, "abc def", f"l{i}") for i in range(3)], "doc_id long, text string, lang string")
