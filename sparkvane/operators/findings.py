@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import half_life
-from .series import ranked
+from .series import cumulative
 
 BLOCK = 1 << 16
 
@@ -14,17 +14,21 @@ BLOCK = 1 << 16
 def benjamini_hochberg(df: DataFrame, p: str, ident: str, family: int | None = None, level: float = 0.10) -> DataFrame:
     """Step-up q values with a family of at least the tests seen; NULL p gives NULL q.
 
-    Ranks come from ranges of p (`ranked`), the least value from a rank on from blocks of
-    BLOCK ranks and the blocks after them, so no task holds the whole family."""
+    Equal p share a q (that of their last rank), whatever their `ident`: so ranks and least
+    values are of distinct p, and many equal ones (p = 1) are one row. Ranks come from ranges of
+    p (`cumulative`), the least value from a rank on from blocks of BLOCK ranks and the blocks
+    after them, so no task holds the whole family. Frames run from the last rank down: Spark
+    goes through one that ends at UNBOUNDED FOLLOWING again for each row."""
     num = F.col(p).cast("double")
-    tests = df.where(F.col(p).isNotNull()).withColumn("__s", F.when(F.isnan(num), float("-inf")).otherwise(-num))
+    tests = df.where(F.col(p).isNotNull()).withColumn("__p", F.when(F.isnan(num), float("inf")).otherwise(num))
     size = tests.agg(F.greatest(F.count(F.lit(1)), F.lit(family or 0)).alias("__m"))
-    d = ranked(tests, "__s", ident).crossJoin(F.broadcast(size))
-    d = d.withColumns({"__b": F.floor((F.col("rank") - 1) / BLOCK), "__q": F.least(F.lit(1.0), F.col(p) * F.col("__m") / F.col("rank"))})
-    later = Window.orderBy("__b").rowsBetween(1, Window.unboundedFollowing)  # one row a block
+    d = cumulative(tests.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")), "__p", "__n").crossJoin(F.broadcast(size))
+    d = d.select("__p", "cum", F.floor((F.col("cum") - 1) / BLOCK).alias("__b"), F.least(F.lit(1.0), F.col("__p") * F.col("__m") / F.col("cum")).alias("__q"))
+    later = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)  # one row a block
     off = d.groupBy("__b").agg(F.min("__q").alias("__l")).select("__b", F.min("__l").over(later).alias("__l"))
-    inside = F.min("__q").over(Window.partitionBy("__b").orderBy("rank").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    d = d.withColumn("__i", inside).join(off, "__b").select(*df.columns, F.least("__i", "__l").alias("q"))
+    inside = F.min("__q").over(Window.partitionBy("__b").orderBy(F.desc("cum")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = d.withColumn("__i", inside).join(off, "__b").select("__p", F.least("__i", "__l").alias("q"))
+    d = tests.join(d, "__p").select(*df.columns, "q")
     d = d.unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
     return d.withColumn("rejected", F.coalesce(F.col("q") <= level, F.lit(False)))
 

@@ -245,3 +245,16 @@ def test_benjamini_hochberg_over_ranges(spark, monkeypatch):
     assert got.keys() == want.keys() and all((got[i] is None) == (q is None) and (q is None or abs(got[i] - q) < 1e-12) for i, q in want.items())
     specs = re.findall(r"windowspecdefinition\((\w+)", d._jdf.queryExecution().optimizedPlan().toString())
     assert specs and set(specs) == {"__b"}  # every window is of a range, or of one row a range
+
+
+def test_benjamini_hochberg_grows_with_the_family(spark):
+    ps = [1.0 if i % 2 else i / 4000 for i in range(4000)] + [float("nan")]
+    d = FS.benjamini_hochberg(spark.createDataFrame(list(enumerate(ps)), "i long, p double"), "p", "i", 5000)
+    text = d._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedfollowing" not in text  # such a frame is quadratic in its rows
+    assert "row_number" not in text  # equal p are ranked once, so a tie isn't one task
+    seen, want, least = sorted((1e9 if p != p else p, i) for i, p in enumerate(ps)), {}, 1.0
+    for k in range(len(seen), 0, -1):
+        p, i = seen[k - 1]
+        want[i] = least = min(least, p * 5000 / k)
+    assert {r.i: r.q for r in d.collect()} == pytest.approx(want)
