@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,6 +154,15 @@ def theta_merge(states: DataFrame, by: list[str] = (), lg_k: int = 12) -> DataFr
     return states.groupBy(*by).agg(F.theta_union_agg("state", lg_k).alias("state"))
 
 
+def counted(states: DataFrame, df: DataFrame, c: str, by: list[str]) -> DataFrame:
+    """Adds `counted`, the exact distinct values of `c` in df, to one state a group: what a
+    sketch says is exact only below its 2^lg_k. A NULL group is a group."""
+    keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(by)]
+    n = df.groupBy(*by).agg(F.count_distinct(c).alias("counted")).select(*keys, "counted")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)))
+    return states.join(n, same).select(*states.columns, "counted")
+
+
 def theta_bounds(state, sigmas: float = 2.0, lg_k: int = 12) -> list[Column]:
     """Estimate and its bounds; exact below 2^lg_k."""
     e = F.theta_sketch_estimate(state)

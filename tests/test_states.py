@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from sparkvane.operators import replay as RP
 from sparkvane.operators import states as ST
+from sparkvane.plans import catalog
 from sparkvane.sources import puffin as PF
 
 
@@ -61,3 +62,18 @@ def test_replay_sees_no_future(spark):
     out = RP.replay(steps, "now", {"f": (facts, "t", [F.count(F.lit(1)).alias("n")])}).orderBy("step").collect()
     assert [(r.step, r.n) for r in out] == [(0, 2), (1, 3), (2, 3)]
     assert RP.replay(steps.limit(0), "now", {"f": (facts, "t", [F.count(F.lit(1)).alias("n")])}).count() == 0
+
+
+@pytest.fixture(scope="module")
+def many_users(spark, tmp_path_factory):
+    """More users than a state of 2^14 counts exactly, each twice, and a type of NULL."""
+    d = str(tmp_path_factory.mktemp("many"))
+    e = spark.range(60_000).selectExpr("id as event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 3 as int)) as ts", "id % 30000 as user_id", "if(id % 30000 < 700, null, if(id % 30000 < 5000, 'few', 'many')) as event_type", "1D as value")
+    e.write.parquet(d + "/events.parquet")
+    return d
+
+
+def test_sealed_states_beyond_a_sketch(spark, many_users):
+    got = {r.event_type: (r.users, r.header, r.oracle) for r in catalog.queries()["sealed_states"](spark, many_users).collect()}
+    head = '{"kind":"theta","params":{"lg_k":14}}'
+    assert got == {None: (700, head, True), "few": (4300, head, False), "many": (25_000, head, False)}
