@@ -85,3 +85,24 @@ def test_statistics_file_beyond_a_sketch(spark, many_users, tmp_path):
     s = spark.range(50).agg(F.theta_sketch_agg("id", 14).alias("blob")).selectExpr("array(1) as fields", "1L as snapshot_id", "1L as sequence_number", "map('ndv', '7') as properties", "blob")
     PF.write_puffin(s, str(tmp_path / "b.stats"))
     assert PF.read_puffin(spark, str(tmp_path / "b.stats")).select(PF.distinct_values()).first()[0] == 50  # no count: the estimate
+
+
+def test_future_knowledge_without_ids(spark):
+    """Findings without a baseline or a snapshot are right, and don't meet in one task."""
+    at = "timestamp'2024-01-01' + make_dt_interval(cast({} as int))"
+    snapshots = spark.range(1000).selectExpr("id as snapshot_id", f"{at.format('id % 10')} as committed_at")
+    f = spark.range(4000).selectExpr("id as finding_id", f"{at.format(5)} as now", "if(id % 2 = 0, id % 1000, null) as snapshot_id", "if(id % 2 = 1, id % 1000, null) as baseline_id", f"{at.format(6)} as created_at")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("false", "-1")):
+            spark.conf.set(k, v)
+        for part, want in (("snapshot_id is null", lambda i: "SNAPSHOT"), ("baseline_id is null", lambda i: "CREATED" if i % 10 <= 5 else "SNAPSHOT")):
+            rows = RP.future_knowledge(f.where(part), snapshots).select("finding_id", "reason", F.spark_partition_id().alias("task")).collect()
+            assert len(rows) == 2000 and all(r.reason == want(r.finding_id) for r in rows)
+            assert len({r.task for r in rows}) == 4
+        both = f.select("finding_id", "now", F.lit(7).cast("long").alias("snapshot_id"), "baseline_id", "created_at").withColumn("now", F.lit("2024-01-09").cast("timestamp"))
+        got = {r.finding_id: r.reason for r in RP.future_knowledge(both, snapshots).collect()}
+        assert got == {i: "BASELINE" for i in range(4000) if i % 2 and i % 10 == 9}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
